@@ -53,7 +53,8 @@ def forget() -> None:
     _stored.clear()
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A stage's table, written once per session and input folder."""
     key = (f"{spark.sparkContext.applicationId}/{name}", sf_dir)
     if key not in _stored:
         _stored[key] = store(build(), name)
@@ -61,7 +62,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def normalized_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "normalized", lambda: normalized(spark, sf_dir))
+    return once(spark, sf_dir, "normalized", lambda: normalized(spark, sf_dir))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return duplicates.resolve_duplicates(normalized_table(spark, sf_dir), ARRIVAL)
 
-    return _once(spark, sf_dir, "transactions", build)
+    return once(spark, sf_dir, "transactions", build)
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
