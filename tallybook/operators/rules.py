@@ -1,7 +1,7 @@
 """Ordered rules: the first active rule by priority whose conditions all hold.
 
 The rule table is configuration. It is read once on the driver and compiled to one CASE
-expression, so matching is a projection: no join, no row explosion, no shuffle.
+expression over conditions, so matching neither multiplies rows nor shuffles.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallybook.constants import SOURCE_RULE
-from tallybook.schemas import CONFIDENCE
 
 RULE_LIMIT = 1_000
 
@@ -50,36 +49,46 @@ def rule_condition(rule: Row) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
-def rule_match(rules: list[Row], accounts: list[Row]) -> Column:
-    """Struct of the first matching rule, or null."""
-    catalog = {a["number"]: a for a in accounts}
-    chain: Column | None = None
-    for rule in rules:
-        account = catalog.get(rule["account_number"])
-        if account is None:
-            problem = "unknown_account"
-        elif not account["active"]:
-            problem = "inactive_account"
-        else:
-            problem = None if account["name"] == rule["account_name"] else "account_name_mismatch"
-        result = F.struct(
-            F.lit(rule["id"]).alias("rule_id"),
-            F.lit(rule["priority"]).alias("priority"),
-            F.lit(rule["transaction_type"]).alias("transaction_type"),
-            F.lit(rule["counterparty_name"]).cast("string").alias("counterparty_name"),
-            F.lit(rule["account_number"]).alias("account_number"),
-            F.lit(rule["account_name"]).alias("account_name"),
-            F.lit(rule["confidence"]).cast(CONFIDENCE).alias("confidence"),
-            F.lit(f"Matched deterministic rule {rule['id']}: {rule['explanation']}").alias("explanation"),
-            F.lit(SOURCE_RULE).alias("source"),
-            F.lit(rule["review_required"]).alias("review_required"),
-            F.lit(problem).cast("string").alias("problem"),
-        ).cast(MATCH)
-        condition = rule_condition(rule)
-        chain = F.when(condition, result) if chain is None else chain.when(condition, result)
-    return F.lit(None).cast(MATCH) if chain is None else chain
+def rule_number(rules: list[Row]) -> Column:
+    """Place of the first matching rule, or null."""
+    chain = F.lit(None).cast("int")
+    for place, rule in reversed(list(enumerate(rules))):
+        chain = F.when(rule_condition(rule), F.lit(place)).otherwise(chain)
+    return chain
+
+
+def _problem(rule: Row, catalog: dict[str, Row]) -> str | None:
+    account = catalog.get(rule["account_number"])
+    if account is None:
+        return "unknown_account"
+    if not account["active"]:
+        return "inactive_account"
+    return None if account["name"] == rule["account_name"] else "account_name_mismatch"
 
 
 def match_rules(transactions: DataFrame, rules: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Add the struct column `rule`, null where none matches."""
-    return transactions.withColumn("rule", rule_match(collect_rules(rules), accounts.collect()))
+    """Add the struct column `rule`, null where none matches.
+
+    Conditions only pick the rule's place; its outcome comes from a broadcast of the rule
+    table, so the conditions are evaluated once per row however many fields are read later.
+    """
+    active = collect_rules(rules)
+    catalog = {a["number"]: a for a in accounts.collect()}
+    outcomes = [
+        (
+            place,
+            (
+                r["id"], r["priority"], r["transaction_type"], r["counterparty_name"],
+                r["account_number"], r["account_name"], r["confidence"],
+                f"Matched deterministic rule {r['id']}: {r['explanation']}", SOURCE_RULE,
+                r["review_required"], _problem(r, catalog),
+            ),
+        )
+        for place, r in enumerate(active)
+    ]
+    table = transactions.sparkSession.createDataFrame(outcomes, f"_place int, rule {MATCH}")
+    return (
+        transactions.withColumn("_place", rule_number(active))
+        .join(F.broadcast(table), "_place", "left")
+        .drop("_place")
+    )

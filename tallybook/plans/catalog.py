@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from tallybook.plans import classify_queries, ingest_queries  # noqa: F401
+from tallybook.plans import (  # noqa: F401
+    classify_queries,
+    ingest_queries,
+    report_queries,
+)
 from tallybook.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -20,14 +20,12 @@ ACCOUNT = """
     number string, name string, account_type string, detail_type string, statement string,
     purpose string, active boolean
 """
-RULE = """
-    id string, priority int, active boolean, description_exact array<string>,
-    description_all array<string>, description_any array<string>,
-    description_none array<string>, direction string, bank_account string, currency string,
-    transaction_type string, account_number string, account_name string,
-    counterparty_name string, confidence decimal(10,9), explanation string,
-    review_required boolean
-"""
+RULE_COLUMNS = (
+    "id", "priority", "active", "description_exact", "description_all", "description_any",
+    "description_none", "direction", "bank_account", "currency", "transaction_type",
+    "account_number", "account_name", "counterparty_name", "confidence", "explanation",
+    "review_required",
+)
 # Decision columns every classification carries, flat.
 DECISION = (
     "transaction_type", "counterparty_raw", "counterparty_name", "account_number",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.config import defaults
 from tallybook.functions import text
-from tallybook.schemas import ACCOUNT, RULE
+from tallybook.schemas import ACCOUNT, RULE_COLUMNS
 
 
 def default_chart(spark: SparkSession) -> DataFrame:
@@ -53,8 +53,7 @@ def _clean_rules(rules: DataFrame) -> DataFrame:
             "confidence": F.col("confidence").cast("decimal(10,9)"),
         }
     )
-    names = [part.strip().split(" ")[0] for part in RULE.split(",")]
-    return cleaned.select(*names)
+    return cleaned.select(*RULE_COLUMNS)
 
 
 def load_chart(spark: SparkSession, path: str) -> DataFrame:
