@@ -8,33 +8,42 @@ from pyspark.sql import functions as F
 from tallybook.functions import text
 from tallybook.functions.cells import Cell
 
-_M = r"(?:1[0-2]|0?[1-9])"
-_D = r"(?:3[01]|[12]\d|0?[1-9]| [1-9])"
+_M = r"(1[0-2]|0?[1-9])"
+_D = r"(3[01]|[12]\d|0?[1-9]| [1-9])"
+_Y = r"((?!0000)\d{4})"
 
-# Accepted formats; one- and two-digit parts are both fine in all of them.
+# Accepted formats, as patterns and the order of year, month and day in them.
+# One- and two-digit months and days are both fine.
 DATE_FORMATS = {
-    "%Y-%m-%d": ("yyyy-M-d", rf"^\d{{4}}-{_M}-{_D}$"),
-    "%m/%d/%Y": ("M/d/yyyy", rf"^{_M}/{_D}/\d{{4}}$"),
-    "%m/%d/%y": ("M/d/yy", rf"^{_M}/{_D}/\d{{2}}$"),
-    "%d/%m/%Y": ("d/M/yyyy", rf"^{_D}/{_M}/\d{{4}}$"),
-    "%Y/%m/%d": ("yyyy/M/d", rf"^\d{{4}}/{_M}/{_D}$"),
-    "%m-%d-%Y": ("M-d-yyyy", rf"^{_M}-{_D}-\d{{4}}$"),
+    "%Y-%m-%d": (rf"^{_Y}-{_M}-{_D}$", "$1-$2-$3"),
+    "%m/%d/%Y": (rf"^{_M}/{_D}/{_Y}$", "$3-$1-$2"),
+    "%m/%d/%y": (rf"^{_M}/{_D}/(\d\d)$", "$3-$1-$2"),
+    "%d/%m/%Y": (rf"^{_D}/{_M}/{_Y}$", "$3-$2-$1"),
+    "%Y/%m/%d": (rf"^{_Y}/{_M}/{_D}$", "$1-$2-$3"),
+    "%m-%d-%Y": (rf"^{_M}-{_D}-{_Y}$", "$3-$1-$2"),
 }
 
 
-def parse_date_text(value: Column, fmt: str) -> Column:
-    spark_format, shape = DATE_FORMATS[fmt]
-    shaped = F.regexp_extract(text.strip(value), shape, 0)
-    parsed = F.try_to_date(F.replace(shaped, F.lit(" "), F.lit("")), spark_format)
+def date_of(stripped: Column, fmt: str) -> Column:
+    """Date of stripped text in the given format, or null. Days must exist in the calendar."""
+    pattern, parts = DATE_FORMATS[fmt]
+    shaped = F.replace(F.regexp_extract(stripped, pattern, 0), F.lit(" "), F.lit(""))
+    iso = shaped if fmt == "%Y-%m-%d" else F.regexp_replace(shaped, pattern, parts)
     if fmt.endswith("%y"):
-        # Two-digit years pivot at 1969, Spark's at 2000.
-        parsed = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
-    return parsed
+        # Two-digit years from 69 on belong to the twentieth century.
+        century = F.when(iso >= "69", F.lit("19")).otherwise(F.lit("20"))
+        iso = F.when(iso != "", F.concat(century, iso))
+    return iso.try_cast("date")
+
+
+def parse_date_text(value: Column, fmt: str) -> Column:
+    return date_of(text.strip(value), fmt)
 
 
 def parse_date(cell: Cell, fmt: str) -> Column:
+    """Date of a staged cell, whose text is stripped already."""
     typed = F.substring(cell.value, 1, 10).try_cast("date")
-    return F.when(cell.kind == "str", parse_date_text(cell.value, fmt)).when(
+    return F.when(cell.kind == "str", date_of(cell.value, fmt)).when(
         cell.kind.isin("date", "datetime"), typed
     )
 

@@ -16,22 +16,35 @@ MONEY_PATTERN = r"^[+-]?(?:\d+(?:,\d{3})*(?:\.\d{1,2})?|\d*\.\d{1,2})$"
 _NUMBER_PATTERN = r"^-?\d+(?:\.\d{1,2}0*)?$"
 
 
-def parse_money_text(value: Column) -> Column:
-    """Exact two-decimal amount, or null when the text is not one."""
-    whole = text.strip(value)
-    bare = F.regexp_replace(whole, rf"(?s)^\({text.WS}*(.*?){text.WS}*\)$", "$1")
+def _general_amount(stripped: Column) -> Column:
+    bare = F.regexp_replace(stripped, rf"(?s)^\({text.WS}*(.*?){text.WS}*\)$", "$1")
     no_code = F.regexp_replace(bare, rf"^(?i:USD ){text.WS}*", "")
     no_sign = F.regexp_replace(no_code, rf"^\${text.WS}*", "")
     digits = F.regexp_extract(no_sign, MONEY_PATTERN, 0)
     amount = F.regexp_replace(digits, ",", "").try_cast(MONEY)
-    in_parentheses = whole.startswith("(") & whole.endswith(")")
+    in_parentheses = stripped.startswith("(") & stripped.endswith(")")
     return F.when(in_parentheses, -F.abs(amount)).otherwise(amount).cast(MONEY)
 
 
+def amount_of(stripped: Column) -> Column:
+    """Exact two-decimal amount of stripped text, or null when it is not one.
+
+    Plain `-12.34` and `(12.34)`, nearly all of a bank's rows, skip the general steps.
+    """
+    plain = stripped.rlike(r"^(?:\(\d+\.\d\d\)|-?\d+\.\d\d)$")
+    quick = F.translate(stripped, "()", "-").try_cast(MONEY)
+    return F.when(plain, quick).otherwise(_general_amount(stripped)).cast(MONEY)
+
+
+def parse_money_text(value: Column) -> Column:
+    return amount_of(text.strip(value))
+
+
 def parse_money(cell: Cell) -> Column:
+    """Amount of a staged cell, whose text is stripped already."""
     typed = F.when(cell.value.rlike(_NUMBER_PATTERN), cell.value.try_cast(MONEY))
     return (
-        F.when(cell.kind == "str", parse_money_text(cell.value))
+        F.when(cell.kind == "str", amount_of(cell.value))
         .when(cell.kind.isin("int", "float", "decimal"), typed)
         .otherwise(F.lit(None))
         .cast(MONEY)

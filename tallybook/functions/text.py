@@ -17,17 +17,24 @@ WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _WS_CHARACTERS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+def _beyond_ascii(c: Column) -> Column:
+    """Whether anything but printable ASCII occurs; nearly all bank text stays below."""
+    return c.rlike("[^ -~]")
+
+
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_WS_CHARACTERS))
+    return F.when(_beyond_ascii(c), F.btrim(c, F.lit(_WS_CHARACTERS))).otherwise(F.trim(c))
 
 
 def collapse(c: Column) -> Column:
-    """Strip, and turn inner whitespace runs into one blank.
-
-    Most text has single blanks only; one cheap look spares those rows the rewrite.
-    """
-    untidy = c.rlike(r"  |[^!-~ ]")
-    return F.when(untidy, F.trim(F.regexp_replace(c, f"{WS}+", " "))).otherwise(F.trim(c))
+    """Strip, and turn inner whitespace runs into one blank."""
+    any_kind = F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    blanks = F.trim(F.regexp_replace(c, "  +", " "))
+    return (
+        F.when(_beyond_ascii(c), any_kind)
+        .when(c.contains("  "), blanks)
+        .otherwise(F.trim(c))
+    )
 
 
 def is_blank(c: Column) -> Column:

@@ -46,7 +46,10 @@ def issue(
 def issue_list(issues: Sequence[Issue], *before: Column) -> Column:
     """The issues that hold, in the given order. Concatenation stays inside code generation."""
     none = F.array().cast(ISSUES)
-    return F.concat(*before, *[F.when(i.holds, F.array(i.entry)).otherwise(none) for i in issues])
+    listed = [F.when(i.holds, F.array(i.entry)).otherwise(none) for i in issues]
+    clean = ~reduce(lambda a, b: a | b, [i.holds for i in issues])
+    untouched = before[0] if before else none
+    return F.when(clean, untouched).otherwise(F.concat(*before, *listed))
 
 
 def any_error(issues: Sequence[Issue]) -> Column:

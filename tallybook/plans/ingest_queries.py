@@ -257,7 +257,7 @@ def parse_money(spark, sf_dir):
         "x", F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     )
     return lines.withColumn("t", F.expr(_MONEY_VARIANT)).select(
-        "l_orderkey", "l_linenumber", "l_partkey", money.parse_money(Cell.of_text(F.col("t"))).alias("amount")
+        "l_orderkey", "l_linenumber", "l_partkey", money.parse_money_text(F.col("t")).alias("amount")
     )
 
 
@@ -314,7 +314,7 @@ def parse_date(spark, sf_dir):
         shown = F.when(F.col("o_orderkey") % 7 == i, F.lit("31.12.1999")).otherwise(
             F.date_format("o_orderdate", spark_format)
         )
-        parsed.append(dates.parse_date(Cell.of_text(F.concat(F.lit(" "), shown)), fmt).alias(f"d{i}"))
+        parsed.append(dates.parse_date_text(F.concat(F.lit(" "), shown), fmt).alias(f"d{i}"))
     return orders.select("o_orderkey", *parsed)
 
 

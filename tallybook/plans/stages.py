@@ -11,7 +11,7 @@ from tallybook.functions.cells import Cell
 from tallybook.operators import duplicates
 from tallybook.operators.normalize import normalize_fields
 from tallybook.plans import views
-from tallybook.session import store
+from tallybook.session import spread, store
 
 CONFIG = IngestionConfig(
     ColumnMapping(
@@ -28,7 +28,7 @@ ARRIVAL = ("upload_seq", "row_no", "source_id", "description_text", "amount_text
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank-export rows, normalized."""
-    raw = views.raw_bank(spark, sf_dir)
+    raw = spread(views.raw_bank(spark, sf_dir))
     raw_id = hashing.lineage_id(*[F.col(c) for c in ARRIVAL])
     records = raw.withColumns(
         {

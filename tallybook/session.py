@@ -74,3 +74,14 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     if df.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
         return F.broadcast(df)
     return df
+
+
+# Set to a partition count where a few large files cannot be split (say one row group each):
+# rows are then spread over that many tasks before the costly parsing. Unset, the default,
+# the scan's own partitions are kept and nothing is shuffled.
+SPREAD = "spark.tallybook.spreadPartitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions)) if partitions else df
