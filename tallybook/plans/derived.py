@@ -166,4 +166,4 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
             review_status(F.col("row_no")).alias("review_status"),
         )
 
-    return stages.once(spark, sf_dir, "classified", build)
+    return stages.once(spark, sf_dir, "classified", build, key="id")

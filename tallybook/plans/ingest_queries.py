@@ -24,6 +24,12 @@ _SAFE = """concat(source, '-', cast(doc_id AS string), CASE WHEN doc_id % 7 = 3
     WHEN doc_id % 7 = 6 THEN '.CSV' ELSE '.csv' END)"""
 
 
+def _scanned_exports(spark: SparkSession, sf_dir: str, header_row: int | None = None) -> DataFrame:
+    """Order exports, scanned once into a stored table that every later step reads."""
+    accepted = files.accepted_files(files.identify(fixtures.order_exports(spark, sf_dir)))
+    return stages.once(spark, sf_dir, f"exports-{header_row}", lambda: scan.scan(accepted, header_row))
+
+
 def _documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an uploaded file under a name as browsers send them."""
     docs = views.table(spark, sf_dir, "documents")
@@ -85,7 +91,7 @@ def document_profile(spark, sf_dir):
     fixtures.EXPORT_RECORDS_SQL,
 )
 def csv_records(spark, sf_dir):
-    scanned = scan.scan(files.accepted_files(files.identify(fixtures.order_exports(spark, sf_dir))))
+    scanned = _scanned_exports(spark, sf_dir)
     return scan.records(scanned).select(
         "file_name", "row_no", F.size("cells").alias("n_cells"),
         F.array_join(F.transform("cells", lambda c: c["value"]), "~").alias("cells"),
@@ -94,7 +100,7 @@ def csv_records(spark, sf_dir):
 
 @query("e_a8_f4_preview_profile", fixtures.EXPORT_PROFILE_SQL)
 def export_profile(spark, sf_dir):
-    scanned = scan.scan(files.accepted_files(files.identify(fixtures.order_exports(spark, sf_dir))))
+    scanned = _scanned_exports(spark, sf_dir)
     shown = scan.preview(scanned, 2).groupBy("file_name").agg(F.count(F.lit(1)).alias("previewed"))
     return scan.profile(scanned).join(shown, "file_name").select(
         "file_name", F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"),
@@ -104,18 +110,14 @@ def export_profile(spark, sf_dir):
 
 @query("e_a9_header_check", fixtures.EXPORT_PROBLEMS_SQL)
 def header_check(spark, sf_dir):
-    scanned = scan.scan(
-        files.accepted_files(files.identify(fixtures.order_exports(spark, sf_dir))), header_row=1
-    )
+    scanned = _scanned_exports(spark, sf_dir, header_row=1)
     return scan.file_problems(scanned, fixtures.EXPORT_CONFIG).select("file_name", "code")
 
 
 @query("e_b1_b30_export_transactions", fixtures.EXPORT_TRANSACTIONS_SQL)
 def export_transactions(spark, sf_dir):
     """Files to normalized rows: scan, headers, padding, extra cells, issues."""
-    scanned = scan.scan(
-        files.accepted_files(files.identify(fixtures.order_exports(spark, sf_dir))), header_row=1
-    )
+    scanned = _scanned_exports(spark, sf_dir, header_row=1)
     rows = normalize_records(scan.data_records(scanned, fixtures.EXPORT_CONFIG), fixtures.EXPORT_CONFIG)
     return rows.select(
         "source_file_name", F.col("source_row_number").cast("long").alias("row_no"), "source_transaction_id",

@@ -600,9 +600,8 @@ def run_summary(spark, sf_dir):
 )
 def stale_recovery(spark, sf_dir):
     events, _, state = _sync_state(spark, sf_dir)
-    now = events.agg(F.max("at").alias("now"))
-    rows = state.join(F.broadcast(now))
-    return sync.stale_recovery(rows, F.col("now")).select("request_id", "attempt_count", "blocks_run", "recovery_kind")
+    now = events.agg(F.max("at").alias("now")).first()["now"]
+    return sync.stale_recovery(state, F.lit(now)).select("request_id", "attempt_count", "blocks_run", "recovery_kind")
 
 
 @query("e_i_sync_violations", "SELECT '' AS request_id, '' AS violation WHERE false")

@@ -53,12 +53,12 @@ def forget() -> None:
     _stored.clear()
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, build, key: str | None = None) -> DataFrame:
     """A stage's table, written once per session and input folder."""
-    key = (f"{spark.sparkContext.applicationId}/{name}", sf_dir)
-    if key not in _stored:
-        _stored[key] = store(build(), name)
-    return _stored[key]
+    place = (f"{spark.sparkContext.applicationId}/{name}", sf_dir)
+    if place not in _stored:
+        _stored[place] = store(build(), name, key)
+    return _stored[place]
 
 
 def normalized_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return duplicates.resolve_duplicates(normalized_table(spark, sf_dir), ARRIVAL)
 
-    return once(spark, sf_dir, "transactions", build)
+    return once(spark, sf_dir, "transactions", build, key="id")
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,13 +58,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+# Set to a bucket count to keep the large keyed tables bucketed and sorted by id: joins of
+# transactions, classifications and plans by id then need no shuffle on either side.
+BUCKETS = "spark.tallybook.buckets"
+
+
+def store(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """Write a stage as a table in the shared folder and read it back.
 
     Later reads prune columns and push filters down to it, instead of repeating the stage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/tables/{table}"
+    buckets = spark.conf.get(BUCKETS, None)
+    if key is not None and buckets:
+        keyed = df.repartition(int(buckets), key)
+        keyed.write.bucketBy(int(buckets), key).sortBy(key).option("path", path).saveAsTable(table)
+        return spark.table(table)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
