@@ -18,6 +18,7 @@ from tallybook.operators.duplicates import is_canonical
 from tallybook.operators.patterns import match_patterns
 from tallybook.operators.rules import match_rules
 from tallybook.schemas import CONFIDENCE
+from tallybook.session import collect_small
 
 ALREADY, PATTERN, RULE, EXTERNAL, MANUAL, FAILED = (
     "already_classified", "learned_pattern", "deterministic_rule", "gemini",
@@ -30,7 +31,7 @@ def proposal_requests(transactions: DataFrame, accounts: DataFrame) -> DataFrame
     allowed = [
         {"number": a["number"], "name": a["name"], "account_type": a["account_type"],
          "statement": a["statement"], "purpose": a["purpose"]}
-        for a in accounts.where("active").orderBy("number").collect()
+        for a in collect_small(accounts.where("active").orderBy("number"))
     ]
     shape = "array<struct<number:string,name:string,account_type:string,statement:string,purpose:string>>"
     request = F.to_json(

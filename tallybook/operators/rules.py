@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallybook.constants import SOURCE_RULE
+from tallybook.session import collect_small
 
 RULE_LIMIT = 1_000
 
@@ -24,10 +25,7 @@ MATCH = (
 
 def collect_rules(rules: DataFrame) -> list[Row]:
     """Active rules in priority order; refuses tables too large to be configuration."""
-    found = rules.where("active").orderBy("priority").limit(RULE_LIMIT + 1).collect()
-    if len(found) > RULE_LIMIT:
-        raise ValueError(f"more than {RULE_LIMIT} active rules")
-    return found
+    return collect_small(rules.where("active").orderBy("priority"), RULE_LIMIT)
 
 
 def rule_condition(rule: Row) -> Column:
@@ -73,7 +71,7 @@ def match_rules(transactions: DataFrame, rules: DataFrame, accounts: DataFrame)
     table, so the conditions are evaluated once per row however many fields are read later.
     """
     active = collect_rules(rules)
-    catalog = {a["number"]: a for a in accounts.collect()}
+    catalog = {a["number"]: a for a in collect_small(accounts)}
     outcomes = [
         (
             place,

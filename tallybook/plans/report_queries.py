@@ -153,15 +153,24 @@ _PLANS = with_blocks(
 )
 
 
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return posting.inventory(
+        stages.transactions(spark, sf_dir), derived.classified(spark, sf_dir), derived.external_accounts(spark)
+    )
+
+
 def _inventory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    def build(index: int):
-        return lambda: posting.inventory(
-            stages.transactions(spark, sf_dir), derived.classified(spark, sf_dir), derived.external_accounts(spark)
-        )[index]
+    """Plans and issues as stored tables, from one pass over the joined postings."""
+    made: list[DataFrame] = []
+
+    def part(index: int) -> DataFrame:
+        if not made:
+            made.extend(_planned(spark, sf_dir))
+        return made[index]
 
     return (
-        stages.once(spark, sf_dir, "plans", build(0)),
-        stages.once(spark, sf_dir, "issues", build(1)),
+        stages.once(spark, sf_dir, "plans", lambda: part(0)),
+        stages.once(spark, sf_dir, "issues", lambda: part(1)),
     )
 
 
@@ -171,9 +180,7 @@ def _inventory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
       first_id, second_id FROM plans""",
 )
 def plans(spark, sf_dir):
-    made, _ = posting.inventory(
-        stages.transactions(spark, sf_dir), derived.classified(spark, sf_dir), derived.external_accounts(spark)
-    )
+    made, _ = _planned(spark, sf_dir)
     line = F.col("lines")
     return posting.order_plans(made).select(
         "request_id", "kind", "transaction_date", "private_note", line[0]["amount"].alias("amount"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast explicitly only while its row count is at or below this.
@@ -31,6 +31,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings every operator relies on for its results."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # File contents travel to Python in batches: bound them by size, not only by rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     return spark
 
 
@@ -80,6 +82,14 @@ def store(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_small(df: DataFrame, limit: int = 10_000) -> list[Row]:
+    """Rows of a configuration table; refuses tables too large to be one."""
+    found = df.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows of configuration")
+    return found
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast hint behind a count; larger sides keep the planner's shuffle join."""
     if df.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
