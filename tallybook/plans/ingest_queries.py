@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from tallybook.operators.normalize import normalize_fields, normalize_records
 from tallybook.plans import fixtures, stages, views
 from tallybook.plans.registry import query
 from tallybook.plans.sql import with_blocks
+from tallybook.session import shared_dir
 from tallybook.sources import files, scan, tables
+from tallybook.streaming import landing
 
 # --- E-A: files -------------------------------------------------------------------------------
 
@@ -493,3 +497,38 @@ def expectations(spark, sf_dir):
         checks.measure(fresh.join(taken, "id", "left_anti"), valid)
     )
     return checks.expectations(actual, expected).where("met").select("label", "actual")
+
+
+# --- E-L: streaming -----------------------------------------------------------------------------
+
+
+def bank_files(spark: SparkSession, sf_dir: str, folder: str, rows_per_file: int = 20_000) -> None:
+    """The bank exports as CSV files of bounded size, written by Spark."""
+    raw = views.raw_bank(spark, sf_dir).select(*stages.CONFIG.mapping.headers())
+    raw.write.option("maxRecordsPerFile", rows_per_file).csv(
+        folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+@query(
+    "e_l1_a1_a6_streaming_ingest",
+    with_blocks("norm") + """SELECT count(*) AS rows, count(*) FILTER (codes <> '') AS unparsable,
+      cast(cast(sum(amount) AS decimal(28,2)) AS varchar) AS total, count(DISTINCT fingerprint) AS contents, 0 AS added_again FROM norm""",
+)
+def streaming_ingest(spark, sf_dir):
+    """Files through the landing stream, then once more from a lost stream checkpoint."""
+    base = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    bank_files(spark, sf_dir, f"{base}/in")
+    seen = []
+    for checkpoint in ("first", "second"):
+        landing.start(spark, f"{base}/in", f"{base}/out", f"{base}/{checkpoint}", stages.CONFIG).awaitTermination()
+        seen.append(spark.read.parquet(f"{base}/out/transactions"))
+    first, second = (t.count() for t in seen)
+    codes = F.transform("validation_issues", lambda i: i["code"])
+    own = F.array_remove(codes, "source_transaction_id_conflict")
+    severe = F.size(F.filter(own, lambda c: ~c.startswith("duplicate_"))) > 0
+    return seen[1].agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(severe).alias("unparsable"),
+        F.sum("amount").cast("decimal(28,2)").alias("total"),
+        F.countDistinct("fingerprint").alias("contents"), F.lit(second - first).alias("added_again"),
+    )
