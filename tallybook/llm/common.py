@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index("text"))
-        sizes = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
         begin = 0
         while begin < batch.num_rows:
             before = sizes[begin - 1] if begin else 0
@@ -66,7 +67,7 @@ def id_filter(ids: DataFrame, column: str):
     Built by Spark's bitmap aggregates: at most FILTER_BITS / 32768 rows reach the driver.
     """
     spark = ids.sparkSession
-    slots = ids.select(_slot(F.col(column)).alias("slot"))
+    slots = ids.select((_slot(F.col(column)) + 1).alias("slot"))  # Spark counts positions from 1
     words = (
         slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))

@@ -63,7 +63,7 @@ def item_shingles(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
     """Bits of the hashes' low part; at most FILTER_BITS / 32768 rows of bitmap reach the driver."""
-    slot = rows.select(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))
+    slot = rows.select((F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("slot"))  # counted from 1
     parts = (
         slot.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
@@ -138,7 +138,7 @@ WITH words AS (
   SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
 shingles AS (
   SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
   FROM words WHERE len(w) > 0),
 sizes AS (SELECT id, count(*) AS n_shingles FROM shingles WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n_shingles, round(count(*) / n_shingles, 6) AS containment

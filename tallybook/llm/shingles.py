@@ -76,9 +76,9 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = place + np.repeat(begins - (stops - per_text), per_text)
     found = chained[place]
     for t in np.flatnonzero((counts > 0) & (counts < WORDS)):
-        h = counts[t].astype(np.uint64)  # the number of words tells short sequences apart
-        for w in words[begins[t] : ends[t]]:
-            h = h * step + w
+        h = int(counts[t])  # the number of words tells short sequences apart
+        for w in words[begins[t] : ends[t]].tolist():
+            h = (h * int(step) + w) & 0xFFFFFFFFFFFFFFFF
         found[stops[t] - 1] = h
     return mix(found), stops
 
