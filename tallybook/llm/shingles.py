@@ -12,8 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 WORDS = 5
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, 9, 10, 11, 12, 13]] = True
+_WORD = np.ones(256, np.uint8)
+_WORD[[32, 9, 10, 11, 12, 13]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -36,13 +36,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text where its words end."""
+def runs(texts: list[bytes], classes: np.ndarray):
+    """Maximal runs of bytes of one class other than 0, lower-casing A-Z: (hashes, begin, end, buffer, stops)."""
     ends = np.cumsum([len(t) + 1 for t in texts])
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    white = _WHITE[buffer]
-    edges = np.flatnonzero(np.diff(white, prepend=True))
-    begin, end = edges[0::2], edges[1::2]
+    kind = classes[buffer]
+    change = np.flatnonzero(np.diff(kind, prepend=0))
+    begin = change[kind[change] != 0]
+    end = np.append(change, len(buffer))[np.searchsorted(change, begin) + 1]
     hashes = np.empty(len(begin), np.uint64)
     word = 0
     while word < len(begin):
@@ -57,7 +58,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(codes * up[:size], out=total[1:])
         hashes[word:stop] = (total[e] - total[b]) * down[b]
         word = stop
-    return mix(hashes), np.searchsorted(begin, ends)
+    return mix(hashes), begin, end, buffer, np.searchsorted(begin, ends)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text where its words end."""
+    hashes, _, _, _, stops = runs(texts, _WORD)
+    return hashes, stops
 
 
 def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
