@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Characters of text that one step inside a task holds at a time, besides a single longer text.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,14 +80,14 @@ def id_filter(ids: DataFrame, column: str):
     return spark.sparkContext.broadcast(found)
 
 
-def passing(docs: DataFrame, bitmap, column: str = "doc_id") -> DataFrame:
-    """Rows whose id may be in the filter (no id of it is lost)."""
+def passing(docs: DataFrame, bitmap, column: str = "doc_id", among: bool = True) -> DataFrame:
+    """Rows whose id may be in the filter (no id of it is lost), or with among=False the others."""
 
     def keep(batches):
         bits = bitmap.value
         for batch in batches:
             slot = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(batch.schema.names[:-1])
+            yield batch.filter(pa.array(hit.astype(bool) == among)).select(batch.schema.names[:-1])
 
     return docs.withColumn("__slot", _slot(F.col(column))).mapInArrow(keep, docs.schema)

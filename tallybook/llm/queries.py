@@ -15,6 +15,7 @@ from tallybook.llm import (
     quality,
     sentencepiece_bpe,
     simple8b,
+    suffix_dedup,
     token_counts,
 )
 from tallybook.llm.common import limited, table
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
         table(limited(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ),
     "op9_jaccard_join": _docs(jaccard_join.op9_jaccard_join),
+    "op10_suffix_dedup": _docs(suffix_dedup.op10_suffix_dedup),
 }
 
 SQL: dict[str, str] = {
