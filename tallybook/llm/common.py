@@ -58,7 +58,7 @@ FILTER_BITS = 1 << 24
 
 
 def _slot(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    return F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS))
 
 
 def id_filter(ids: DataFrame, column: str):
@@ -91,3 +91,15 @@ def passing(docs: DataFrame, bitmap, column: str = "doc_id", among: bool = True)
             yield batch.filter(pa.array(hit.astype(bool) == among)).select(batch.schema.names[:-1])
 
     return docs.withColumn("__slot", _slot(F.col(column))).mapInArrow(keep, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is not in the one column of `gone` (null is an id).
+
+    Only rows that the filter lets through meet `gone` in a join; all others stay where they are.
+    """
+    gone = gone.toDF("__gone")
+    bitmap = id_filter(gone, "__gone")
+    doubtful = passing(docs, bitmap, id_col)
+    doubtful = doubtful.join(gone, doubtful[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    return passing(docs, bitmap, id_col, among=False).unionByName(doubtful)

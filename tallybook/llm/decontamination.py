@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import FILTER_BITS, limited, slices, texts_of
+from tallybook.llm.common import FILTER_BITS, limited, slices, texts_of, without
 from tallybook.llm.shingles import shingle_hashes, shingle_texts
 from tallybook.session import store
 
@@ -121,9 +121,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_co
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    found = store(leaks(docs, items, threshold, id_col, text_col), "leaks")
-    found = found.select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__leak"]), "left_anti")
+    found = store(leaks(docs, items, threshold, id_col, text_col).select("doc_id").distinct(), "leaks")
+    return without(docs, found, id_col)
 
 
 def op8_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

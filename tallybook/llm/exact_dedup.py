@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import limited, texts_of
+from tallybook.llm.common import id_filter, limited, passing, texts_of
 from tallybook.session import store
 
 COUNTERS = 1024
@@ -100,15 +100,21 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows that stay, with all their columns. Rows are told apart by id and text."""
+    """The rows that stay, with all their columns. Rows are told apart by id and text.
+
+    Only rows with the id of a row that goes (and few others) are joined and compared; all others
+    stay where they are read.
+    """
+    limited(docs.sparkSession)
+    groups = store(copy_groups(docs, id_col, text_col, counters), "copy_groups")
+    bitmap = id_filter(groups.where(~F.col("kept")), "doc_id")
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    kept = copy_groups(docs, id_col, text_col, counters).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(lower.cast("binary"), 256)))
-    match = marked[id_col].cast("long").eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__digest"])
-    stay = marked.join(kept, match, "left_semi")
-    # Repeated rows share id and text: a digest and id that occur more than once keep one row.
-    return stay.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    doubtful = passing(docs, bitmap, id_col).withColumn("__digest", F.unhex(F.sha2(lower.cast("binary"), 256)))
+    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
+    match = doubtful[id_col].cast("long").eqNullSafe(kept["__id"]) & (doubtful["__digest"] == kept["__kept"])
+    # Repeated rows share id and text; one of them stays.
+    stay = doubtful.join(kept, match, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    return passing(docs, bitmap, id_col, among=False).unionByName(stay)
 
 
 def op6_exact_dedup(docs: DataFrame) -> DataFrame:

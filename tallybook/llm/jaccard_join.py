@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import id_filter, passing, slices, texts_of
+from tallybook.llm.common import id_filter, passing, slices, texts_of, without
 from tallybook.llm.components import components
 from tallybook.llm.shingles import shingle_sets
 from tallybook.session import store
@@ -440,8 +440,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that of the smallest id, with all columns."""
     found = similar_groups(docs, id_col, text_col)
-    gone = store(found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near_copies")
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = store(found.where("doc_id != component_id").select("doc_id"), "near_copies")
+    return without(docs, gone, id_col)
 
 
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
