@@ -53,11 +53,6 @@ def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 
 
-@F.pandas_udf(StringType())
-def _fold(values: pd.Series) -> pd.Series:
-    return values.map(str.casefold, na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def _fold_compatible(values: pd.Series) -> pd.Series:
     def fold(text: str) -> str:
@@ -66,9 +61,23 @@ def _fold_compatible(values: pd.Series) -> pd.Series:
     return values.map(fold, na_action="ignore")
 
 
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Unicode case folding, by Python's rule: characters that fold to one, and those that fold to several."""
+    folds = {chr(i): chr(i).casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000}
+    single = {c: f for c, f in folds.items() if f != c and len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folds.items() if len(f) > 1}
+
+
+_FROM, _TO, _EXPANDED = _folding()
+
+
 def casefold(c: Column) -> Column:
-    """Case folding: `lower` inside the JVM, Python only for non-ASCII values."""
-    return F.when(is_ascii(c), F.lower(c)).otherwise(_fold(F.when(~is_ascii(c), c)))
+    """Case folding inside the JVM: `lower` for ASCII, tables for the rest."""
+    folded = F.translate(c, _FROM, _TO)
+    table = F.create_map(*[F.lit(x) for pair in _EXPANDED.items() for x in pair])
+    expanded = F.array_join(F.transform(F.split(folded, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    rest = F.when(folded.rlike(f"[{''.join(_EXPANDED)}]"), expanded).otherwise(folded)
+    return F.when(is_ascii(c), F.lower(c)).otherwise(rest)
 
 
 def normalize_description(c: Column) -> Column:
@@ -93,10 +102,8 @@ def safe_message(c: Column, limit: int = 500) -> Column:
 
 
 def clean_phrases(c: Column) -> Column:
-    """Phrase list: collapsed, case folded (ASCII lists stay in the JVM), distinct in order."""
-    return F.array_distinct(
-        F.filter(F.transform(c, lambda p: F.lower(collapse(p))), lambda p: p != "")
-    )
+    """Phrase list: collapsed, case folded, distinct in order."""
+    return F.array_distinct(F.filter(F.transform(c, fold_name), lambda p: p != ""))
 
 
 def period_label(start: Column, end: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallybook.constants import ACCOUNT_TYPE_FOR, REFUND_ACCOUNT, TYPES_FOR_DIRECTION
 from tallybook.functions import text
-from tallybook.session import broadcast_if_small
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -20,11 +19,9 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
 
 def with_account(df: DataFrame, accounts: DataFrame, number: str = "account_number") -> DataFrame:
     """Add the catalog entry under `number` as the struct column `account` (null if unknown)."""
-    catalog = broadcast_if_small(
-        accounts.select(
-            F.col("number").alias("_number"),
-            F.struct("number", "name", "account_type", "active").alias("account"),
-        )
+    catalog = accounts.select(
+        F.col("number").alias("_number"),
+        F.struct("number", "name", "account_type", "active").alias("account"),
     )
     return df.join(catalog, text.strip(F.col(number)) == F.col("_number"), "left").drop("_number")
 
@@ -58,7 +55,7 @@ def target_problem(
         )
     )
     if source_bank_key is not None:
-        same = F.lower(text.collapse(account["name"])) == source_bank_key
+        same = text.fold_name(account["name"]) == source_bank_key
         problem = problem.when((transaction_type == "transfer") & same, F.lit("transfer_to_itself"))
     return problem
 

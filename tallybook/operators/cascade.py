@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,6 @@ from tallybook.operators.duplicates import is_canonical
 from tallybook.operators.patterns import match_patterns
 from tallybook.operators.rules import match_rules
 from tallybook.schemas import CONFIDENCE
-from tallybook.session import collect_small
 
 ALREADY, PATTERN, RULE, EXTERNAL, MANUAL, FAILED = (
     "already_classified", "learned_pattern", "deterministic_rule", "gemini",
@@ -28,18 +25,15 @@ ALREADY, PATTERN, RULE, EXTERNAL, MANUAL, FAILED = (
 
 def proposal_requests(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     """One JSON request per transaction for an outside classifier, with the active accounts."""
-    allowed = [
-        {"number": a["number"], "name": a["name"], "account_type": a["account_type"],
-         "statement": a["statement"], "purpose": a["purpose"]}
-        for a in collect_small(accounts.where("active").orderBy("number"))
-    ]
-    shape = "array<struct<number:string,name:string,account_type:string,statement:string,purpose:string>>"
+    # One row that holds the catalog: a request carries it whole, so a task must hold it anyway.
+    entry = F.struct("number", "name", "account_type", "statement", "purpose")
+    catalog = accounts.where("active").agg(F.array_sort(F.collect_list(entry)).alias("allowed_accounts"))
     request = F.to_json(
         F.struct(
             F.col("id").alias("transaction_id"), "transaction_date", "description_original",
             "description_normalized", F.col("amount").cast("string").alias("amount"), "currency",
             "bank_account", "direction",
-            F.from_json(F.lit(json.dumps(allowed)), shape).alias("allowed_accounts"),
+            "allowed_accounts",
         )
     )
     complete = (
@@ -47,7 +41,7 @@ def proposal_requests(transactions: DataFrame, accounts: DataFrame) -> DataFrame
         & F.col("description_normalized").isNotNull() & F.col("currency").isNotNull()
         & F.col("bank_account").isNotNull() & F.col("direction").isNotNull()
     )
-    return transactions.where(complete).select("id", request.alias("request"))
+    return transactions.where(complete).join(catalog, F.lit(True)).select("id", request.alias("request"))
 
 
 def _needs_review(confidence: Column, transaction_type: Column) -> Column:

@@ -17,6 +17,7 @@ from tallybook.operators.accounts import (
     with_account,
 )
 from tallybook.operators.duplicates import is_canonical
+from tallybook.session import store
 
 TOTAL = "decimal(28,2)"
 
@@ -98,13 +99,19 @@ def entry_problems(entries: DataFrame) -> DataFrame:
     return entries.where("problem is not null").select("id", "problem")
 
 
-def strict_entries(entries: DataFrame) -> DataFrame:
-    """The entries, or an error naming how many are broken and one of them."""
-    broken = entry_problems(entries)
-    sample = broken.limit(1).collect()
-    if sample:
-        raise ValueError(f"{broken.count()} broken P&L rows, e.g. {sample[0].asDict()}")
-    return entries
+def refuse_broken(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """`rows`, or an error naming how many entries are broken and one of them, in the same job.
+
+    One row of counts is joined to every row, so nothing can be read past a broken entry.
+    """
+    broken = F.col("problem").isNotNull()
+    found = entries.agg(
+        F.count_if(broken).alias("_broken"),
+        F.min(F.when(broken, F.concat_ws(" ", "id", "problem"))).alias("_sample"),
+    )
+    checked = rows.join(found, F.lit(True))
+    refusal = F.raise_error(F.concat(F.col("_broken").cast("string"), F.lit(" broken P&L rows, e.g. "), F.col("_sample")))
+    return checked.where(F.when(F.col("_broken") == 0, F.lit(True)).otherwise(refusal.cast("boolean"))).drop("_broken", "_sample")
 
 
 def account_lines(entries: DataFrame) -> DataFrame:
@@ -194,7 +201,11 @@ def report_set(
     end: date,
     currency: str,
 ) -> DataFrame:
-    """Monthly statements and the consolidated one, in one job."""
+    """Monthly statements and the consolidated one, in one job; it fails if any entry is broken.
+
+    `entry_problems` of the prepared entries lists what would have to be mended.
+    """
     code = check_period(start, end, currency)
     sources = approved_sources(transactions, classifications, start, end, code)
-    return statements(prepare_entries(sources, accounts), start, end)
+    entries = store(prepare_entries(sources, accounts), "report_entries")
+    return refuse_broken(statements(entries, start, end), entries)

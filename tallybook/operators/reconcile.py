@@ -75,13 +75,17 @@ def _unpivot(totals: DataFrame, value: str) -> DataFrame:
 
 
 def reconcile_totals(internal: DataFrame, external: DataFrame) -> DataFrame:
-    """The five totals per period, for the periods both sides have."""
-    left = _unpivot(internal, "inner")
-    right = _unpivot(external, "outer").drop("label")
-    joined = left.join(right, [*PERIOD, "key"])
+    """The five totals per period; a period that one side lacks is compared with zero and never reconciled."""
+    left = _unpivot(internal, "inner").withColumnRenamed("label", "inner_label")
+    right = _unpivot(external, "outer").withColumnRenamed("label", "outer_label")
+    joined = left.join(right, [*PERIOD, "key"], "full_outer")
+    zero = F.lit(0).cast(_MONEY)
+    both = F.col("inner_label").isNotNull() & F.col("outer_label").isNotNull()
+    compared = _compare(F.coalesce("inner", zero), F.coalesce("outer", zero))
+    compared["reconciled"] = compared["reconciled"] & both & F.col("inner").isNotNull() & F.col("outer").isNotNull()
     return joined.select(
-        *PERIOD, "key", "label",
-        *[c.alias(n) for n, c in _compare(F.col("inner"), F.col("outer")).items()],
+        *PERIOD, "key", F.coalesce("inner_label", "outer_label").alias("label"),
+        *[c.alias(n) for n, c in compared.items()],
     )
 
 

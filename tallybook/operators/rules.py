@@ -1,92 +1,104 @@
 """Ordered rules: the first active rule by priority whose conditions all hold.
 
-The rule table is configuration. It is read once on the driver and compiled to one CASE
-expression over conditions, so matching neither multiplies rows nor shuffles.
+Every rule needs a positive phrase, so a row can only meet rules one of whose phrases occurs in its
+description. Phrases are joined to rows by their first words: a row's words, and pairs of
+neighbouring words cut at any place, would multiply rows; instead each rule is keyed by one of its
+phrases' three-character pieces, the rarest in the rule table, and a row by the distinct pieces of
+its description that some rule has. What meets by piece is tested in full, and the least priority
+wins by a grouped minimum that combines before the shuffle. Distinct descriptions are matched, not
+rows, so a description of many rows is matched once, and the rule table may be of any size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.constants import SOURCE_RULE
-from tallybook.session import collect_small
-
-RULE_LIMIT = 1_000
+from tallybook.operators.accounts import account_problem, with_account
 
 MATCH = (
     "struct<rule_id:string,priority:int,transaction_type:string,counterparty_name:string,"
     "account_number:string,account_name:string,confidence:decimal(10,9),explanation:string,"
     "source:string,review_required:boolean,problem:string>"
 )
+KEY = ("description_normalized", "bank_key", "currency", "direction")
+_PIECE = 3
 
 
-def collect_rules(rules: DataFrame) -> list[Row]:
-    """Active rules in priority order; refuses tables too large to be configuration."""
-    return collect_small(rules.where("active").orderBy("priority"), RULE_LIMIT)
+def _pieces(text: Column) -> Column:
+    """Distinct three-character pieces; a shorter text is its own piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (_PIECE - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(_PIECE))))
 
 
-def rule_condition(rule: Row) -> Column:
-    """Condition over description_normalized, bank_key, currency and direction."""
+def _holds(rule: Column) -> Column:
+    """Whether a rule's conditions hold for description_normalized, bank_key, currency and direction."""
     description = F.col("description_normalized")
-    parts: list[Column] = []
-    if rule["direction"] is not None:
-        parts.append(F.col("direction") == rule["direction"])
-    if rule["bank_account"] is not None:
-        parts.append(F.col("bank_key") == rule["bank_account"])
-    if rule["currency"] is not None:
-        parts.append(F.col("currency") == rule["currency"])
-    if rule["description_exact"]:
-        parts.append(description.isin(*rule["description_exact"]))
-    parts += [description.contains(p) for p in rule["description_all"]]
-    if rule["description_any"]:
-        parts.append(reduce(lambda a, b: a | b, [description.contains(p) for p in rule["description_any"]]))
-    parts += [~description.contains(p) for p in rule["description_none"]]
-    return reduce(lambda a, b: a & b, parts)
-
-
-def rule_number(rules: list[Row]) -> Column:
-    """Place of the first matching rule, or null."""
-    chain = F.lit(None).cast("int")
-    for place, rule in reversed(list(enumerate(rules))):
-        chain = F.when(rule_condition(rule), F.lit(place)).otherwise(chain)
-    return chain
-
-
-def _problem(rule: Row, catalog: dict[str, Row]) -> str | None:
-    account = catalog.get(rule["account_number"])
-    if account is None:
-        return "unknown_account"
-    if not account["active"]:
-        return "inactive_account"
-    return None if account["name"] == rule["account_name"] else "account_name_mismatch"
 
+    def open_or(value: Column, name: str) -> Column:
+        return value.isNull() | F.coalesce(value == F.col(name), F.lit(False))
 
-def match_rules(transactions: DataFrame, rules: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Add the struct column `rule`, null where none matches.
+    def empty_or(phrases: Column, found: Column) -> Column:
+        return (F.size(phrases) == 0) | found
 
-    Conditions only pick the rule's place; its outcome comes from a broadcast of the rule
-    table, so the conditions are evaluated once per row however many fields are read later.
-    """
-    active = collect_rules(rules)
-    catalog = {a["number"]: a for a in collect_small(accounts)}
-    outcomes = [
-        (
-            place,
-            (
-                r["id"], r["priority"], r["transaction_type"], r["counterparty_name"],
-                r["account_number"], r["account_name"], r["confidence"],
-                f"Matched deterministic rule {r['id']}: {r['explanation']}", SOURCE_RULE,
-                r["review_required"], _problem(r, catalog),
-            ),
-        )
-        for place, r in enumerate(active)
-    ]
-    table = transactions.sparkSession.createDataFrame(outcomes, f"_place int, rule {MATCH}")
     return (
-        transactions.withColumn("_place", rule_number(active))
-        .join(F.broadcast(table), "_place", "left")
-        .drop("_place")
+        open_or(rule["direction"], "direction")
+        & open_or(rule["bank_account"], "bank_key")
+        & open_or(rule["currency"], "currency")
+        & empty_or(rule["description_exact"], F.array_contains(rule["description_exact"], description))
+        & F.forall(rule["description_all"], lambda p: description.contains(p))
+        & empty_or(rule["description_any"], F.exists(rule["description_any"], lambda p: description.contains(p)))
+        & ~F.exists(rule["description_none"], lambda p: description.contains(p))
+    )
+
+
+def rule_keys(rules: DataFrame) -> DataFrame:
+    """(rule id, piece): for each phrase that alone can make a row meet the rule, its rarest piece.
+
+    Of phrases that must all occur one is enough; of phrases of which any may occur each needs its
+    own. Pieces are counted over the rule table, so a piece that most rules share is rarely a key.
+    """
+    needed = (
+        F.when(F.size("description_all") > 0, F.slice("description_all", 1, 1))
+        .when(F.size("description_exact") > 0, F.col("description_exact"))
+        .otherwise(F.col("description_any"))
+    )
+    phrases = rules.select("id", F.explode(needed).alias("phrase"))
+    pieces = phrases.select("id", "phrase", F.explode(_pieces(F.col("phrase"))).alias("piece"))
+    shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("shared"))
+    rarest = pieces.join(shared, "piece").groupBy("id", "phrase").agg(F.min(F.struct("shared", "piece")).alias("r"))
+    return rarest.select("id", "r.piece").distinct()
+
+
+def match_rules(transactions: DataFrame, rules: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Add the struct column `rule`, null where none matches."""
+    active = rules.where("active")
+    keys = rule_keys(active)
+    conditions = F.struct(
+        "id", "priority", "description_exact", "description_all", "description_any", "description_none",
+        "direction", "bank_account", "currency",
+    )
+    keyed = keys.join(active.select("id", conditions.alias("conditions")), "id").select("piece", "conditions")
+    different = transactions.select(*KEY).where("description_normalized is not null").distinct()
+    met = different.withColumn("piece", F.explode(_pieces(F.col("description_normalized")))).join(keyed, "piece")
+    first = (
+        met.where(_holds(F.col("conditions")))
+        .groupBy(*KEY)
+        .agg(F.min(F.struct("conditions.priority", "conditions.id")).alias("first"))
+        .select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("first.id").alias("_id"))
+    )
+    resolved = with_account(active, accounts)
+    outcome = resolved.select(
+        F.col("id").alias("_id"),
+        F.struct(
+            F.col("id").alias("rule_id"), "priority", "transaction_type", "counterparty_name", "account_number",
+            "account_name", "confidence",
+            F.concat(F.lit("By rule "), F.col("id"), F.lit(": "), F.col("explanation")).alias("explanation"),
+            F.lit(SOURCE_RULE).alias("source"), "review_required",
+            account_problem(F.col("account"), F.col("account_name")).alias("problem"),
+        ).cast(MATCH).alias("rule"),
     )
+    ruled = first.join(outcome, "_id").drop("_id")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    return transactions.join(ruled, same, "left").drop(*[f"_{c}" for c in KEY])

@@ -2,6 +2,7 @@
 
 from tallybook.plans import (  # noqa: F401
     classify_queries,
+    fault_queries,
     ingest_queries,
     report_queries,
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators import accounts as acc
-from tallybook.operators import cascade, checks, ledger, patterns, review, rules
+from tallybook.operators import cascade, ledger, patterns, review, rules
 from tallybook.plans import derived, stages
 from tallybook.plans.registry import query
 from tallybook.plans.sql import rule_case, with_blocks
@@ -170,22 +170,15 @@ def missing_classification(spark, sf_dir):
     )
 
 
-@query("e_d13_orphan_classifications", "SELECT '' AS id WHERE false")
-def orphan_classifications(spark, sf_dir):
-    return review.orphan_classifications(
-        derived.classified(spark, sf_dir), stages.transactions(spark, sf_dir)
-    ).select("id")
-
-
 @query(
     "e_g1_review_queue",
-    _CASCADE + f"""SELECT o.id, cast(pick_confidence AS varchar) AS confidence, pick_review AS review_required, cast(t.amount AS varchar) AS amount
-      FROM outcomes o JOIN canonical t ON t.id = o.id WHERE {_DECIDED} ORDER BY pick_review DESC, pick_confidence, o.id LIMIT 100""",
+    _CASCADE + f"""SELECT row_number() OVER (ORDER BY pick_review DESC, pick_confidence, o.id) AS position, o.id, cast(pick_confidence AS varchar) AS confidence,
+      pick_review AS review_required, cast(t.amount AS varchar) AS amount FROM outcomes o JOIN canonical t ON t.id = o.id WHERE {_DECIDED} ORDER BY pick_review DESC, pick_confidence, o.id LIMIT 100""",
 )
 def review_queue(spark, sf_dir):
     pending = cascade.initial_classifications(_cascade(spark, sf_dir))
     return review.review_queue(pending, stages.transactions(spark, sf_dir), 100).select(
-        "id", "confidence", "review_required", "amount"
+        "position", "id", "confidence", "review_required", "amount"
     )
 
 
@@ -220,12 +213,13 @@ _FOLD = with_blocks(
         CASE event_type WHEN 'view' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'correct' END AS kind, 1 + event_id % 5 AS expected_version,
         CASE WHEN event_id % 7 = 0 THEN 'operating_expense' ELSE 'revenue' END AS transaction_type,
         CASE WHEN event_id % 11 = 0 THEN '9999' WHEN event_id % 2 = 0 THEN '4000' ELSE '4010' END AS account_number,
-        CASE WHEN event_id % 3 = 0 THEN concat('Party ', event_id % 4) END AS party, event_type AS reason FROM events),
-      cmds AS (SELECT c.*, t.id, row_number() OVER (ORDER BY c.at, c.command_id) AS pos,
+        CASE WHEN event_id % 3 = 0 THEN concat('Party ', event_id % 4) END AS party, event_type AS reason,
+        concat('reviewer-', event_id % 9) AS reviewer_id FROM events),
+      cmds AS (SELECT c.*, t.id, k.id IS NOT NULL AS known, k.review_status AS held_status, row_number() OVER (ORDER BY c.at, c.command_id) AS pos,
         CASE WHEN c.kind = 'correct' AND c.transaction_type = 'operating_expense' THEN 'type_not_allowed_for_direction'
              WHEN c.kind = 'correct' AND c.account_number = '9999' THEN 'unknown_account' END AS problem
-        FROM cmd c JOIN (SELECT id, source_transaction_id FROM canonical WHERE upload_seq = 1) t ON t.source_transaction_id = c.target
-        JOIN (SELECT id FROM classified) k ON k.id = t.id),
+        FROM cmd c LEFT JOIN (SELECT id, source_transaction_id FROM canonical WHERE upload_seq = 1) t ON t.source_transaction_id = c.target
+        LEFT JOIN (SELECT id, review_status FROM classified) k ON k.id = t.id),
       chain AS (
         SELECT id, 1 AS version, cast(0 AS bigint) AS pos, '' AS content, NULL::varchar AS party, NULL::varchar AS account_number FROM classified
         UNION ALL
@@ -239,96 +233,79 @@ _FOLD = with_blocks(
       placed AS (SELECT c.*, s.version, s.until, s.version IS NOT NULL AND c.pos > s.pos AND (s.until IS NULL OR c.pos <= s.until) AS is_current
         FROM cmds c LEFT JOIN spans s ON s.id = c.id AND s.version = c.expected_version),
       reviewed AS (SELECT *, min(pos) FILTER (kind <> 'correct' AND is_current) OVER (PARTITION BY id, version) AS first_review FROM placed),
-      verdicts AS (SELECT *, CASE WHEN NOT is_current THEN 'stale_version' WHEN kind <> 'correct' AND pos = first_review THEN 'accepted'
+      verdicts AS (SELECT *, CASE WHEN NOT known THEN 'not_found' WHEN NOT is_current THEN 'stale_version'
+        WHEN kind <> 'correct' AND version = 1 AND held_status <> 'pending' THEN 'review_conflict' WHEN kind <> 'correct' AND pos = first_review THEN 'accepted'
         WHEN kind <> 'correct' THEN 'review_conflict' WHEN problem IS NOT NULL THEN 'invalid_correction' WHEN pos = until THEN 'accepted'
         ELSE 'unchanged_decision' END AS verdict FROM reviewed)""",
 ).replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK ", "")
 
 
-def _folded(spark, sf_dir, fold_limit=review.FOLD_LIMIT):
-    return review.fold_commands(
-        derived.commands(spark, sf_dir), derived.classified(spark, sf_dir), stages.transactions(spark, sf_dir),
-        config.default_chart(spark), fold_limit,
+def _folded(spark, sf_dir):
+    """Verdicts, history and state, judged once per input."""
+    held = derived.classified(spark, sf_dir)
+    return tuple(
+        stages.once(spark, sf_dir, name, lambda table=table: table)
+        for name, table in zip(
+            ("verdicts", "history", "review_state"),
+            review.fold_commands(
+                derived.commands(spark, sf_dir), held, stages.transactions(spark, sf_dir), config.default_chart(spark)
+            ),
+        )
     )
 
 
 @query("e_j7_j8_command_verdicts", _FOLD + "SELECT command_id, verdict FROM verdicts")
 def command_verdicts(spark, sf_dir):
-    verdicts, _, _ = _folded(spark, sf_dir)
-    return verdicts.where("verdict <> 'not_found'").select("command_id", "verdict")
-
-
-@query("e_j8_hot_key_verdicts", _FOLD + "SELECT command_id, verdict FROM verdicts")
-def hot_key_verdicts(spark, sf_dir):
-    """The same fold with every transaction treated as a hot one: a version per round."""
-    verdicts, _, _ = _folded(spark, sf_dir, fold_limit=0)
-    return verdicts.where("verdict <> 'not_found'").select("command_id", "verdict")
+    return _folded(spark, sf_dir)[0].select("command_id", "verdict")
 
 
-@query(
-    "e_f7_j8_review_state",
-    _FOLD + """, last AS (SELECT id, max(version) AS version, arg_max(account_number, version) AS account_number, arg_max(party, version) AS party FROM chain GROUP BY 1),
-      rev AS (SELECT id, version, kind FROM verdicts WHERE kind <> 'correct' AND verdict = 'accepted')
-    SELECT l.id, l.version, coalesce(l.account_number, c.account_number) AS account_number, l.party AS counterparty_name,
-      CASE WHEN r.kind = 'approve' THEN 'approved' WHEN r.kind = 'reject' THEN 'rejected' WHEN l.version > 1 THEN 'pending' ELSE 'pending' END AS review_status
-      FROM last l JOIN classified c ON c.id = l.id LEFT JOIN rev r ON r.id = l.id AND r.version = l.version""",
+_FOLD_HOT = _FOLD.replace(
+    "LEFT JOIN (SELECT id, source_transaction_id FROM canonical WHERE upload_seq = 1) t ON t.source_transaction_id = c.target",
+    "LEFT JOIN (SELECT min(id) AS id FROM classified WHERE review_status = 'pending' AND direction = 'inflow') t ON true",
 )
-def review_state(spark, sf_dir):
-    initial = derived.classified(spark, sf_dir).withColumn("review_status", F.lit("pending"))
-    _, _, state = review.fold_commands(
-        derived.commands(spark, sf_dir), initial, stages.transactions(spark, sf_dir), config.default_chart(spark)
-    )
-    return state.select("id", "version", "account_number", "counterparty_name", "review_status")
 
 
-@query("e_f5_j9_history_violations", "SELECT '' AS id, '' AS violation WHERE false")
-def history_violations(spark, sf_dir):
-    _, history, state = _folded(spark, sf_dir)
-    return review.history_violations(history, state)
+@query("e_j8_hot_key_verdicts", _FOLD_HOT + "SELECT command_id, verdict FROM verdicts")
+def hot_key_verdicts(spark, sf_dir):
+    """All commands as those of one transaction: a key that holds every row."""
+    held = derived.classified(spark, sf_dir)
+    inflows = stages.canonical(spark, sf_dir).where("direction = 'inflow'").select("id")
+    one = held.where("review_status = 'pending'").join(inflows, "id").agg(F.min("id")).first()[0]
+    commands = derived.commands(spark, sf_dir).withColumn("id", F.lit(one))
+    verdicts, _, _ = review.fold_commands(
+        commands, held, stages.transactions(spark, sf_dir), config.default_chart(spark)
+    )
+    return verdicts.select("command_id", "verdict")
 
 
-def _learned(spark, sf_dir):
-    _, _, state = _folded(spark, sf_dir)
-    approved = state.where("version > 1").withColumn("review_status", F.lit("approved"))
-    chart = config.default_chart(spark)
-    return patterns.learn_patterns(stages.transactions(spark, sf_dir), approved, chart), approved
+_LAST = """, last AS (SELECT id, max(version) AS version, arg_max(account_number, version) AS account_number, arg_max(party, version) AS party FROM chain GROUP BY 1),
+      rev AS (SELECT id, version, kind, reviewer_id, "at" FROM verdicts WHERE kind <> 'correct' AND verdict = 'accepted'),
+      final AS (SELECT l.*, c.review_status AS held_status, coalesce(l.account_number, c.account_number) AS account, r.kind, r.reviewer_id, r."at",
+        CASE WHEN r.kind = 'approve' THEN 'approved' WHEN r.kind = 'reject' THEN 'rejected' WHEN l.version > 1 THEN 'pending' ELSE c.review_status END AS review_status
+        FROM last l JOIN classified c ON c.id = l.id LEFT JOIN rev r ON r.id = l.id AND r.version = l.version)"""
 
 
 @query(
-    "e_j10_learned_patterns",
-    _FOLD + """, last AS (SELECT id, max(version) AS version, arg_max(account_number, version) AS account_number, arg_max(party, version) AS party FROM chain GROUP BY 1)
-    SELECT l.id AS source_transaction_id, l.version AS source_version, t.description_normalized, l.account_number, l.party AS counterparty_name
-      FROM last l JOIN canonical t ON t.id = l.id WHERE l.version > 1""",
+    "e_f7_j8_review_state",
+    _FOLD + _LAST + " SELECT id, version, account AS account_number, party AS counterparty_name, review_status, reviewer_id AS reviewed_by FROM final",
 )
-def learned_patterns(spark, sf_dir):
-    learned, _ = _learned(spark, sf_dir)
-    return learned.select(
-        "source_transaction_id", "source_version", "description_normalized", "account_number", "counterparty_name"
+def review_state(spark, sf_dir):
+    return _folded(spark, sf_dir)[2].select(
+        "id", "version", "account_number", "counterparty_name", "review_status", "reviewed_by"
     )
 
 
 @query(
-    "e_j11_save_patterns",
-    _FOLD + """, last AS (SELECT id, max(version) AS version, arg_max(account_number, version) AS account_number FROM chain GROUP BY 1),
-      new AS (SELECT l.id, t.description_normalized, l.account_number, min(l.id) OVER (PARTITION BY t.description_normalized, t.bank_account, t.direction, t.currency) AS winner,
-        t.row_no FROM last l JOIN canonical t ON t.id = l.id WHERE l.version > 1)
-    SELECT id AS source_transaction_id, CASE WHEN row_no % 20 = 0 THEN 'unchanged' WHEN id = winner THEN 'inserted' ELSE 'conflict' END AS outcome
-      FROM new WHERE description_normalized NOT IN (SELECT description_normalized FROM new GROUP BY 1 HAVING count(*) > 1)""",
+    "e_j8_correction_history",
+    _FOLD + """ SELECT c.id, c.version - 1 AS from_version, c.version AS to_version, m.command_id, m.reviewer_id AS corrected_by,
+      c.account_number, coalesce(p.account_number, k.account_number) AS previous_account_number, p.party AS previous_counterparty_name
+      FROM chain c JOIN cmds m ON m.id = c.id AND m.pos = c.pos JOIN chain p ON p.id = c.id AND p.version = c.version - 1 JOIN classified k ON k.id = c.id""",
 )
-def save_patterns(spark, sf_dir):
-    """Learned patterns against a store that holds those of every other order already."""
-    learned, _ = _learned(spark, sf_dir)
-    rows = stages.transactions(spark, sf_dir).select(F.col("id").alias("source_transaction_id"), "row_no")
-    stored = learned.join(rows.where("row_no % 20 = 0"), "source_transaction_id", "left_semi")
-    twice = ledger.repeated(learned, "description_normalized").select("description_normalized")
-    single = learned.join(twice, "description_normalized", "left_anti")
-    return patterns.save_patterns(single, stored).select("source_transaction_id", "outcome")
-
-
-@query("e_d14_pattern_provenance", "SELECT '' AS id, '' AS source_transaction_id, '' AS violation WHERE false")
-def pattern_provenance(spark, sf_dir):
-    learned, approved = _learned(spark, sf_dir)
-    return patterns.provenance_violations(learned, stages.transactions(spark, sf_dir), approved)
+def correction_history(spark, sf_dir):
+    return _folded(spark, sf_dir)[1].select(
+        "id", "from_version", "to_version", "command_id", "corrected_by", "account_number", "previous_account_number",
+        "previous_counterparty_name",
+    )
 
 
 @query(
@@ -337,17 +314,3 @@ def pattern_provenance(spark, sf_dir):
 )
 def counts_per_account(spark, sf_dir):
     return ledger.counts_per_account(derived.classified(spark, sf_dir))
-
-
-@query("e_i9_decision_targets", "SELECT '' AS id, '' AS violation WHERE false")
-def decision_targets(spark, sf_dir):
-    """Stored decisions whose account does not fit their type."""
-    rows = acc.with_account(derived.classified(spark, sf_dir), config.default_chart(spark))
-    return checks.violations(
-        rows,
-        {
-            "unusable_account": acc.account_problem(F.col("account"), F.col("account_name")).isNotNull(),
-            "wrong_target": acc.target_problem(F.col("transaction_type"), F.col("account")).isNotNull(),
-        },
-        ["id"],
-    )

@@ -49,7 +49,8 @@ SELECT lpad(cast(event_id AS string), 12, '0') AS command_id, concat('ORD-', cas
        CASE WHEN event_id % 7 = 0 THEN 'operating_expense' ELSE 'revenue' END AS transaction_type,
        CASE WHEN event_id % 11 = 0 THEN '9999' WHEN event_id % 2 = 0 THEN '4000' ELSE '4010' END AS account_number,
        CASE WHEN event_id % 3 = 0 THEN concat('Party ', cast(event_id % 4 AS string)) END AS counterparty_name,
-       event_type AS reason
+       event_type AS reason, concat('reviewer-', cast(event_id % 9 AS string)) AS reviewer_id,
+       CASE WHEN event_id % 4 = 0 THEN concat('note ', cast(event_id AS string)) END AS notes
 FROM events
 """
 

@@ -473,11 +473,6 @@ def repeated_keys(spark, sf_dir):
     return ledger.repeated(views.raw_bank(spark, sf_dir), "bank_text", "source_id")
 
 
-@query("e_i1_transaction_violations", "SELECT '' AS id, '' AS violation WHERE false")
-def transaction_violations(spark, sf_dir):
-    return checks.violations(stages.transactions(spark, sf_dir), checks.transaction_rules(), ["id"])
-
-
 @query(
     "e_i12_expectations",
     with_blocks("resolved") + """, a AS (SELECT count(*) AS n, count(*) FILTER (status = 'valid') AS v, sum(amount) FILTER (status = 'valid') AS s FROM transactions)

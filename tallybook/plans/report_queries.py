@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import hashing, money
-from tallybook.operators import catalog, checks, ledger, pnl, posting, reconcile, sync
+from tallybook.operators import catalog, ledger, pnl, posting, reconcile, sync
 from tallybook.plans import derived, stages, views
 from tallybook.plans.registry import query
 from tallybook.plans.sql import PERIOD, with_blocks
@@ -82,38 +82,6 @@ def statements(spark, sf_dir):
     return pnl.statements(_entries(spark, sf_dir), START, END)
 
 
-@query("e_i2_i11_entry_violations", "SELECT '' AS id, '' AS violation WHERE false")
-def entry_violations(spark, sf_dir):
-    entries = _entries(spark, sf_dir)
-    broken = checks.violations(entries, checks.entry_rules(), ["id"])
-    return broken.union(pnl.entry_problems(entries))
-
-
-@query("e_i3_line_violations", "SELECT DATE '2000-01-01' AS month, '' AS account_number, '' AS violation WHERE false")
-def line_violations(spark, sf_dir):
-    entries = _entries(spark, sf_dir)
-    return checks.line_violations(pnl.account_lines(entries), entries)
-
-
-@query("e_i4_i5_statement_violations", "SELECT '' AS violation WHERE false")
-def statement_violations(spark, sf_dir):
-    made = pnl.statements(_entries(spark, sf_dir), START, END)
-    return checks.violations(made, checks.statement_rules(), []).union(checks.report_set_violations(made))
-
-
-@query("e_f6_month_gaps", "SELECT DATE '2000-01-01' AS start_date, DATE '2000-01-01' AS end_date WHERE false")
-def month_gaps(spark, sf_dir):
-    return checks.month_gaps(pnl.statements(_entries(spark, sf_dir), START, END))
-
-
-@query("e_h3_month_union", "SELECT '' AS id, '' AS only_in WHERE false")
-def month_union(spark, sf_dir):
-    """Ids of the whole period against those of the months, from separate reads."""
-    whole = _sources(spark, sf_dir).select("id")
-    monthly = _entries(spark, sf_dir).where(F.col("month").between(F.lit(START), F.lit(END))).select("id")
-    return checks.set_differences(whole, monthly)
-
-
 # --- posting plans ------------------------------------------------------------------------------
 
 _PLANS = with_blocks(
@@ -243,17 +211,6 @@ def inventory_summary(spark, sf_dir):
     )
 
 
-@query("e_h2_coverage", "SELECT '' AS id, 0 AS canonical, 0 AS covered WHERE false")
-def coverage(spark, sf_dir):
-    made, blocked = _inventory(spark, sf_dir)
-    return posting.coverage_violations(stages.transactions(spark, sf_dir), made, blocked)
-
-
-@query("e_i6_plan_violations", "SELECT '' AS request_id, '' AS violation WHERE false")
-def plan_violations(spark, sf_dir):
-    return checks.violations(_inventory(spark, sf_dir)[0], checks.plan_rules(), ["request_id"])
-
-
 @query(
     "e_e8_g7_account_movements",
     _PLANS + "SELECT account_number, cast(debits AS varchar) AS debits, cast(credits AS varchar) AS credits, cast(cast(debits - credits AS decimal(28,2)) AS varchar) AS net_debit FROM moves",
@@ -416,11 +373,6 @@ def external_totals(spark, sf_dir):
     )
 
 
-@query("e_k7_report_problems", "SELECT '' AS report_id, '' AS problem WHERE false")
-def report_problems(spark, sf_dir):
-    return _external(spark, sf_dir)[2]
-
-
 def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, totals = _internal(spark, sf_dir)
     outside_lines, outside_totals, _ = _external(spark, sf_dir)
@@ -548,9 +500,9 @@ def _postings(events: DataFrame) -> DataFrame:
     return events.groupBy("request_id").agg(F.min("at").alias("created_at"))
 
 
-def _sync_state(spark: SparkSession, sf_dir: str, fold_limit: int = sync.FOLD_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _sync_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = derived.sync_events(spark, sf_dir)
-    transitions = sync.fold_events(events, fold_limit)
+    transitions = sync.fold_events(events)
     return events, transitions, sync.current_state(_postings(events), transitions)
 
 
@@ -560,10 +512,15 @@ def event_verdicts(spark, sf_dir):
     return sync.event_verdicts(events, transitions).select("event_id", "verdict", "status_after")
 
 
-@query("e_k10_hot_key_state", _SYNC + "SELECT request_id, status, attempt_count FROM state")
+_SYNC_HOT = _SYNC.replace("SELECT *, row_number()", "SELECT * REPLACE ('je-all' AS request_id), row_number()")
+
+
+@query("e_k10_hot_key_state", _SYNC_HOT + "SELECT request_id, status, attempt_count FROM state")
 def hot_key_state(spark, sf_dir):
-    """The same fold with every posting treated as a hot one: an attempt per round."""
-    return _sync_state(spark, sf_dir, fold_limit=0)[2].select("request_id", "status", "attempt_count")
+    """All events as those of one posting: a key that holds every row."""
+    events = derived.sync_events(spark, sf_dir).withColumn("request_id", F.lit("je-all"))
+    state = sync.current_state(_postings(events), sync.fold_events(events))
+    return state.select("request_id", "status", "attempt_count")
 
 
 @query("e_f7_sync_state", _SYNC + "SELECT request_id, status, attempt_count FROM state")
@@ -611,11 +568,6 @@ def stale_recovery(spark, sf_dir):
     return sync.stale_recovery(state, F.lit(now)).select("request_id", "attempt_count", "blocks_run", "recovery_kind")
 
 
-@query("e_i_sync_violations", "SELECT '' AS request_id, '' AS violation WHERE false")
-def sync_violations(spark, sf_dir):
-    return checks.violations(_sync_state(spark, sf_dir)[2], checks.sync_rules(), ["request_id"])
-
-
 @query(
     "e_k11_outcome_classification",
     f"""WITH a AS ({derived.ATTEMPTS}), k AS (SELECT *, transport_error OR bad_response OR http_status IS NOT NULL AS bad FROM a)

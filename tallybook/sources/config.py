@@ -31,7 +31,7 @@ def default_rules(spark: SparkSession) -> DataFrame:
         transaction_type string, account_number string, account_name string,
         confidence string, explanation string"""
     table = spark.createDataFrame(rows, layout)
-    return _clean_rules(
+    return clean_rules(
         table.withColumns(
             {
                 "active": F.lit(True),
@@ -43,12 +43,12 @@ def default_rules(spark: SparkSession) -> DataFrame:
     )
 
 
-def _clean_rules(rules: DataFrame) -> DataFrame:
+def clean_rules(rules: DataFrame) -> DataFrame:
     cleaned = rules.withColumns(
         {
             **{c: text.clean_phrases(F.col(c)) for c in
                ("description_exact", "description_all", "description_any", "description_none")},
-            "bank_account": F.lower(text.collapse(F.col("bank_account"))),
+            "bank_account": text.fold_name(F.col("bank_account")),
             "currency": F.upper(text.strip(F.col("currency"))),
             "confidence": F.col("confidence").cast("decimal(10,9)"),
         }
@@ -88,7 +88,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"rules array<{rule}>").json(path, multiLine=True)
     rows = rows.select(F.inline("rules"))
     none = F.array().cast("array<string>")
-    return _clean_rules(
+    return clean_rules(
         rows.select(
             "id", "priority", F.coalesce("active", F.lit(True)).alias("active"),
             F.coalesce("match.description_exact", none).alias("description_exact"),

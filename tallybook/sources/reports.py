@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import money
-from tallybook.session import broadcast_if_small
+from tallybook.session import store
 
 # Summary groups a report must carry, and the totals they stand for.
 GROUPS = {
@@ -61,14 +61,21 @@ def parse_reports(reports: DataFrame) -> DataFrame:
 
 
 def report_rows(parsed: DataFrame) -> DataFrame:
-    """Every row of every report's tree, with its depth."""
+    """Every row of every report's tree, with its depth.
+
+    Each level is stored as text and read once for the next, so the work follows the tree's size.
+    """
     level = parsed.select("report_id", _children(F.col("doc")).alias("row"))
     levels = []
-    depth = 0
-    while depth == 0 or not level.isEmpty():
-        levels.append(level.withColumn("depth", F.lit(depth)))
+    while True:
+        stored = store(level.select("report_id", F.to_json("row").alias("json")), "report_level")
+        if stored.isEmpty():
+            break
+        level = stored.select("report_id", F.parse_json("json").alias("row"))
+        levels.append(level.withColumn("depth", F.lit(len(levels))))
         level = level.select("report_id", _children(F.col("row")).alias("row"))
-        depth += 1
+    if not levels:
+        return level.withColumn("depth", F.lit(0))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -98,11 +105,9 @@ def section_totals(rows: DataFrame) -> DataFrame:
 
 def report_lines(data: DataFrame, external: DataFrame) -> DataFrame:
     """Data rows with the outside account they name; `problem` says what is wrong."""
-    accounts = broadcast_if_small(
-        external.select(
-            F.col("id").alias("external_id"), "account_number", F.col("name").alias("account_name"),
-            F.lit(True).alias("_known"),
-        )
+    accounts = external.select(
+        F.col("id").alias("external_id"), "account_number", F.col("name").alias("account_name"),
+        F.lit(True).alias("_known"),
     )
     repeated = data.groupBy("report_id", "external_id").agg(F.count(F.lit(1)).alias("times"))
     joined = data.join(accounts, "external_id", "left").join(
@@ -157,18 +162,18 @@ def report_problems(totals: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def external_statements(reports: DataFrame, external: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Account lines, totals and problems of all reports."""
+    """Account lines and totals of the trusted reports, and the problems of the others."""
     parsed = parse_reports(reports)
     rows = report_rows(parsed.where("header_problem is null"))
     lines = report_lines(data_rows(rows), external)
     totals = report_totals(parsed, section_totals(rows))
-    good = lines.where("problem is null").join(
-        totals.select("report_id", "start_date", "end_date"), "report_id"
-    )
+    problems = report_problems(totals, lines)
+    # A report with any problem is refused whole: part of one would reconcile to a wrong result.
+    refused = problems.select("report_id").distinct()
+    trusted = totals.join(refused, "report_id", "left_anti")
+    good = lines.join(trusted.select("report_id", "start_date", "end_date"), "report_id")
     return (
         good.select("start_date", "end_date", "account_number", "account_name", "amount"),
-        totals,
-        report_problems(totals, lines),
+        trusted,
+        problems,
     )
-
-

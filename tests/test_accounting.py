@@ -230,9 +230,9 @@ def test_reconciliation(spark):
 COMMANDS = "command_id string, id string, at timestamp, kind string, expected_version int, transaction_type string, account_number string, counterparty_name string, reason string"
 
 
-def _model_fold(commands):
+def _model_fold(commands, status):
     """Sequential model of the version-guarded commands of valid corrections and reviews."""
-    version, status, last, name, out = 1, "pending", None, None, {}
+    version, last, name, out = 1, None, None, {}
     for c in commands:
         if c[4] != version:
             out[c[0]] = "stale_version"
@@ -260,20 +260,57 @@ def _random_commands(seed, count):
     ]
 
 
-@pytest.mark.parametrize("limit", [1_000, 0])
+@pytest.mark.parametrize("held", ["pending", "approved", "rejected"])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_command_fold(spark, limit, seed):
+def test_command_fold(spark, held, seed):
     commands = _random_commands(seed, 25)
     rows = tx(spark, ("a", "2026-04-01", "x", "5", MAIN))
-    start = cl(spark, ("a", "revenue", "4000", "Repair Service Revenue", "pending"))
-    verdicts, history, state = review.fold_commands(
-        spark.createDataFrame(random.Random(seed).sample(commands, len(commands)), COMMANDS), start, rows, config.default_chart(spark), limit
-    )
-    version, status, expected = _model_fold(commands)
+    start = cl(spark, ("a", "revenue", "4000", "Repair Service Revenue", held))
+    given = spark.createDataFrame(random.Random(seed).sample(commands, len(commands)), COMMANDS).withColumn("reviewer_id", F.concat(F.lit("r-"), "command_id"))
+    verdicts, history, state = review.fold_commands(given, start, rows, config.default_chart(spark))
+    version, status, expected = _model_fold(commands, held)
     assert {r["command_id"]: r["verdict"] for r in verdicts.collect()} == expected
     [current] = state.collect()
     assert (current["version"], current["review_status"]) == (version, status)
-    assert history.count() == version - 1 and review.history_violations(history, state).isEmpty()
+    kinds = {c[0]: c[3] for c in commands}
+    last = max((c for c, v in expected.items() if v == "accepted"), default=None)
+    assert current["reviewed_by"] == (f"r-{last}" if last and kinds[last] != "correct" else None)
+    steps = sorted(history.collect(), key=lambda r: r["to_version"])
+    assert len(steps) == version - 1 and review.history_violations(history, state).isEmpty()
+    assert [r["corrected_by"] for r in steps] == [f"r-{c}" for c in sorted(expected) if expected[c] == "accepted" and kinds[c] == "correct"]
+    assert [r["previous_account_number"] for r in steps] == ["4000", *[r["account_number"] for r in steps]][: len(steps)]
+
+
+def _jobs(spark, action):
+    spark.sparkContext.setJobGroup("counted", "counted")
+    action()
+    found = spark.sparkContext.statusTracker().getJobIdsForGroup("counted")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(found)
+
+
+def test_a_key_of_many_events(spark):
+    """100,000 commands, and as many sync events, of one key: an accepted step each, in a few jobs."""
+    n = 100_000
+    rows = tx(spark, ("a", "2026-04-01", "x", "5", MAIN))
+    start = cl(spark, ("a", "revenue", "4000", "Repair Service Revenue", "pending"))
+    commands = spark.range(n).selectExpr(
+        "lpad(cast(id as string), 9, '0') as command_id", "'a' as id", "timestamp_seconds(id) as at", "'correct' as kind",
+        "cast(id + 1 as int) as expected_version", "'revenue' as transaction_type",
+        "if(id % 2 = 0, '4010', '4000') as account_number", "cast(null as string) as counterparty_name", "'x' as reason",
+    )
+    kept = {}
+
+    def fold():
+        verdicts, _, state = review.fold_commands(commands, start, rows, config.default_chart(spark))
+        kept["accepted"], kept["version"] = verdicts.where("verdict = 'accepted'").count(), state.first()["version"]
+
+    assert _jobs(spark, fold) <= 20 and kept == {"accepted": n, "version": n + 1}
+    events = spark.range(n).selectExpr(
+        "lpad(cast(id as string), 9, '0') as event_id", "'je' as request_id", "timestamp_seconds(id) as at",
+        "if(id % 2 = 0, 'claim', 'retryable') as kind", "cast(id / 2 + 0.5 as int) as expected_attempt",
+    )
+    assert _jobs(spark, lambda: kept.update(moves=sync.fold_events(events).count())) <= 4 and kept["moves"] == n
 
 
 def test_learning_and_saving_patterns(spark):
@@ -302,13 +339,12 @@ def _model_sync(events):
     return status, attempt, out
 
 
-@pytest.mark.parametrize("limit", [1_000, 0])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_sync_fold(spark, limit, seed):
+def test_sync_fold(spark, seed):
     pick = random.Random(seed)
     events = [(f"e{i:03d}", "je", datetime(2026, 1, 1, 0, 0, i), pick.choice(["claim", "retryable", "claim", "retryable", "succeed", "permanent"][: 5 + seed % 2]), pick.randint(1, 3)) for i in range(30)]
     table = spark.createDataFrame(pick.sample(events, len(events)), "event_id string, request_id string, at timestamp, kind string, expected_attempt int")
-    moves = sync.fold_events(table, limit)
+    moves = sync.fold_events(table)
     status, attempt, expected = _model_sync(events)
     assert {r["event_id"]: r["verdict"] for r in sync.event_verdicts(table, moves).collect()} == expected
     records = spark.createDataFrame([("je", datetime(2026, 1, 1)), ("idle", datetime(2026, 1, 1))], "request_id string, created_at timestamp")
@@ -342,8 +378,8 @@ def test_save_initial_and_queue(spark):
     found = {r["id"]: r["outcome"] for r in review.save_initial(new, stored, rows).collect()}
     assert found == {"a": "inserted", "b": "unchanged", "c": "conflict", "d": "inserted", "e": "transaction_not_canonical"}
     queue = new.withColumns({"review_required": F.col("id").isin("c", "d"), "confidence": F.when(F.col("id") == "d", F.lit("0.5").cast("decimal(10,9)")).otherwise(F.col("confidence"))})
-    top = review.review_queue(queue, rows, 3).orderBy(F.col("review_required").desc(), "confidence", "id").collect()
-    assert [r["id"] for r in top] == ["d", "c", "a"]
+    top = review.review_queue(queue, rows, 3).collect()
+    assert [(r["position"], r["id"]) for r in top] == [(1, "d"), (2, "c"), (3, "a")]
     for limit in (0, 201):
         with pytest.raises(ValueError):
             review.review_queue(queue, rows, limit)
