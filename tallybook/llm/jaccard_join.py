@@ -9,8 +9,8 @@ points, bounded by the boxes' upper corners.
 Which points can meet at all is settled by equi-joins: under one order of all shingles (frequent
 ones last; the order is for speed, any order is exact) two linked sets share one of their first
 n - ceil(t * n) + 1 shingles. Sets that share such a shingle are a block. Blocks with the same
-members are one; blocks are cut, by size and coordinates, into leaves of at most LEAF points, whose
-boxes are compared before their points, so no task holds more than two leaves of a block.
+members are one; a block of more than LEAF points is cut by size into leaves, and leaves, or pairs of
+them, are what a task takes. Inside, boxes of FANOUT points are compared before their points.
 
 What survives is verified on the exact sets. Only connectivity is asked for, so a round proposes
 for each block a few pairs between parts not yet connected (one in the first round, 16 times as many
@@ -27,10 +27,11 @@ empty tables give none; other columns are not read. 64-bit hashes stand for shin
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import id_filter, passing, slices, texts_of, without
@@ -43,6 +44,7 @@ FREQUENT = 1 << 16  # shingles ordered last: a bound on what the driver sends ro
 LEAF = 1024
 FANOUT = 16
 BUCKET_SIGNATURES = 1 << 21
+HOME_NODES = 8_000
 
 
 def _node(found: np.ndarray) -> int:
@@ -185,14 +187,18 @@ def _blocks(signatures: DataFrame) -> DataFrame:
 
 
 def _memberships(blocks: DataFrame) -> DataFrame:
+    """(block, node, head, size): head is the block's smallest node, size the number of its nodes."""
+
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                nodes = np.frombuffer(batch.column(1)[i].as_py(), "<i8")
-                block = np.full(len(nodes), batch.column(0)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(nodes)], ["block", "node"])
+            for block, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                nodes = np.frombuffer(members, "<i8")
+                own = [np.full(len(nodes), v, np.int64) for v in (block, nodes.min(), len(nodes))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[0]), pa.array(nodes), pa.array(own[1]), pa.array(own[2])], ["block", "node", "head", "size"]
+                )
 
-    return blocks.mapInArrow(run, "block long, node long")
+    return blocks.mapInArrow(run, "block long, node long, head long, size long")
 
 
 class Tree:
@@ -219,174 +225,185 @@ class Tree:
         return at[enough], bound[enough]
 
 
-def candidate_pairs(nodes, sizes, points, parts, side, refuted: set, most: int) -> list[tuple[int, int]]:
-    """Pairs of one block that the bounds let through, at most `most` for each two parts.
+class Proposals:
+    """Pairs to verify among the blocks of one home, with what is known of their components."""
 
-    `side` is 0 or 1 for the two leaves of a pair of leaves (only pairs across them count), or 2
-    where all pairs of a leaf do. `parts` are the components so far.
-    """
-    top, whole = SIMILAR
-    order = np.lexsort((nodes, sizes))
-    nodes, sizes, parts, side = nodes[order], sizes[order], parts[order].copy(), side[order]
-    points = [points[i] for i in order]
-    dims = np.array([len(p) for p in points])
-    trees = {}
-    for d in np.unique(dims).tolist():
-        rows = np.flatnonzero((dims == d) | (dims == 2 * d))
-        trees[d] = rows, Tree(np.stack([points[i].reshape(-1, d).sum(0) for i in rows]), sizes[rows])
-    found: list[tuple[int, int]] = []
-    asked: dict[tuple[int, int], int] = {}
-    for i in range(len(nodes)):
-        rows, tree = trees[int(dims[i])]
-        at, bound = tree.near(points[i], int(sizes[i]), int(np.searchsorted(rows, i)) + 1)
-        near = rows[at]
-        fits = (whole * sizes[i] >= top * sizes[near]) & (parts[near] != parts[i])
-        if side[i] != 2:
-            fits &= side[near] != side[i]
-        near, bound = near[fits], bound[fits]
-        best = np.argsort(-(bound / (sizes[near] + sizes[i])), kind="stable")
-        for j in near[best].tolist():
-            if most == 1 and parts[j] == parts[i]:
-                continue
-            a, b = sorted((int(nodes[i]), int(nodes[j])))
-            if (a, b) in refuted:
-                continue
-            key = (min(parts[i], parts[j]), max(parts[i], parts[j]))
-            if asked.get(key, 0) >= most:
-                continue
-            asked[key] = asked.get(key, 0) + 1
-            found.append((a, b))
-            if most == 1:  # a spanning forest of the candidates
-                parts[parts == parts[j]] = parts[i]
-    return found
-
-
-def _leaves(rows: DataFrame) -> DataFrame:
-    """(job, block, side, ...): leaves of at most LEAF points of a block, and the pairs of leaves that may link.
-
-    Blocks of one leaf, nearly all, are one job. In larger ones the leaves are runs of equal size
-    rank; two leaves whose sizes can not link form no job.
-    """
-    from pyspark.sql import Window
+    def __init__(self, points: dict[int, tuple[int, np.ndarray]], refuted: set, most: int):
+        self.points, self.refuted, self.most = points, refuted, most
+        self.parent: dict[int, int] = {}
+        self.asked: dict[tuple[int, int], int] = {}
+        self.tried: set[tuple[int, int]] = set()
+        self.found: list[tuple[int, int]] = []
 
+    def part(self, x: int) -> int:
+        while self.parent.get(x, x) != x:
+            self.parent[x] = x = self.parent.get(self.parent[x], self.parent[x])
+        return x
+
+    def offer(self, one: int, other: int, part: int, other_part: int) -> None:
+        """Take a pair that the bounds let through, unless it is refuted or its parts have enough."""
+        pair = (one, other) if one < other else (other, one)
+        x, y = self.part(part), self.part(other_part)
+        if x == y or pair in self.refuted or pair in self.tried:
+            return
+        key = (x, y) if x < y else (y, x)
+        if self.asked.get(key, 0) >= self.most:
+            return
+        self.asked[key] = self.asked.get(key, 0) + 1
+        self.tried.add(pair)
+        self.found.append(pair)
+        if self.most == 1:  # a spanning forest of the candidates
+            self.parent[y] = x
+
+    def block(self, nodes: list[int], parts: list[int], sides: list[int]) -> None:
+        """`sides` are 0 and 1 for a pair of leaves, where only pairs across count, or all 2."""
+        if len({self.part(p) for p in parts}) < 2:
+            return
+        order = sorted(range(len(nodes)), key=lambda i: (self.points[nodes[i]][0], nodes[i]))
+        nodes, parts, sides = ([c[i] for i in order] for c in (nodes, parts, sides))
+        sizes = [self.points[n][0] for n in nodes]
+        points = [self.points[n][1] for n in nodes]
+        if len(nodes) <= FANOUT:
+            self._pairs(nodes, parts, sides, sizes, points)
+        else:
+            self._tree(np.array(nodes), np.array(parts), np.array(sides), np.array(sizes), points)
+
+    def _pairs(self, nodes, parts, sides, sizes, points) -> None:
+        """A block of one box: its points are compared directly."""
+        top, whole = SIMILAR
+        for i in range(len(nodes)):
+            for j in range(i + 1, len(nodes)):
+                if top * sizes[j] > whole * sizes[i]:
+                    break
+                if (sides[i] != 2 and sides[i] == sides[j]) or self.part(parts[i]) == self.part(parts[j]):
+                    continue
+                pair = (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+                if pair in self.tried or pair in self.refuted:
+                    continue
+                other = points[j]
+                if len(other) != len(points[i]):
+                    other = other.reshape(-1, len(points[i])).sum(0)
+                if (top + whole) * int(np.minimum(points[i], other).sum()) >= top * (sizes[i] + sizes[j]):
+                    self.offer(nodes[i], nodes[j], parts[i], parts[j])
+
+    def _tree(self, nodes, parts, sides, sizes, points) -> None:
+        top, whole = SIMILAR
+        dims = np.array([len(p) for p in points])
+        trees = {}
+        for d in np.unique(dims).tolist():
+            rows = np.flatnonzero((dims == d) | (dims == 2 * d))
+            trees[d] = rows, Tree(np.stack([points[i].reshape(-1, d).sum(0) for i in rows]), sizes[rows])
+        for i in range(len(nodes)):
+            rows, tree = trees[int(dims[i])]
+            at, bound = tree.near(points[i], int(sizes[i]), int(np.searchsorted(rows, i)) + 1)
+            near = rows[at]
+            fits = (whole * sizes[i] >= top * sizes[near]) & (parts[near] != parts[i])
+            if sides[i] != 2:
+                fits &= sides[near] != sides[i]
+            near, bound = near[fits], bound[fits]
+            best = np.argsort(-(bound / (sizes[near] + sizes[i])), kind="stable")
+            for j in near[best].tolist():
+                self.offer(int(nodes[i]), int(nodes[j]), int(parts[i]), int(parts[j]))
+
+
+def _leaves(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(job, side, node, part) for blocks of more than LEAF nodes: their leaves, and the pairs of leaves that may link.
+
+    Leaves are runs of equal size rank; two whose sizes can not link, or that lie in one component
+    together, form no job.
+    """
     place = F.row_number().over(Window.partitionBy("block").orderBy("n", "node")) - 1
-    placed = rows.withColumn("leaf", (place / LEAF).cast("int"))
+    placed = rows.join(sizes, "node").withColumn("leaf", (place / LEAF).cast("int"))
     spans = placed.groupBy("block", "leaf").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("p"), F.max("part").alias("q")
     )
-    one = spans.select("block", F.col("leaf").alias("i"), "low", "high", "p", "q")
-    other = spans.select("block", F.col("leaf").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("p").alias("p2"), F.col("q").alias("q2"))
+    one = spans.select("block", F.col("leaf").alias("i"), "high", "p", "q")
+    other = spans.select("block", F.col("leaf").alias("j"), "low", F.col("p").alias("p2"), F.col("q").alias("q2"))
     top, whole = SIMILAR
     jobs = (
         one.join(other, "block")
         .where("i <= j")
-        .where(F.col("high") * whole >= F.col("low2") * top)
-        # Two leaves within one component have nothing to ask.
+        .where(F.col("high") * whole >= F.col("low") * top)
         .where(~((F.col("p") == F.col("q")) & (F.col("p2") == F.col("q2")) & (F.col("p") == F.col("p2"))))
     )
+    leaf_i = F.struct(F.col("i").alias("leaf"), F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("side"))
+    leaf_j = F.struct(F.col("j").alias("leaf"), F.lit(1).alias("side"))
     sides = jobs.select(
         "block", F.xxhash64("block", "i", "j").alias("job"),
-        F.explode(
-            F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("leaf"), F.lit(2).alias("side")))).otherwise(
-                F.array(
-                    F.struct(F.col("i").alias("leaf"), F.lit(0).alias("side")),
-                    F.struct(F.col("j").alias("leaf"), F.lit(1).alias("side")),
-                )
-            )
-        ).alias("s"),
+        F.explode(F.when(F.col("i") == F.col("j"), F.array(leaf_i)).otherwise(F.array(leaf_i, leaf_j))).alias("s"),
     ).select("block", "job", "s.leaf", "s.side")
-    return placed.join(sides, ["block", "leaf"]).select("job", "side", "node", "n", "point", "part")
+    return placed.join(sides, ["block", "leaf"]).select("job", "side", "node", "part")
+
 
+def _propose(
+    members: DataFrame, points: DataFrame, homes: int, roots: DataFrame | None, refuted: DataFrame | None, most: int
+) -> DataFrame:
+    """(home, a, b) to verify: what the trees of all blocks with more than one component let through.
 
-def _propose(members: DataFrame, points: DataFrame, roots: DataFrame | None, refuted: DataFrame | None, most: int) -> DataFrame:
-    """(a, b) to verify: what the trees of all blocks with more than one component let through."""
+    A home takes the blocks of one smallest node, so a group's blocks share the points sent there.
+    """
     if roots is None:
         rows = members.withColumn("part", F.col("node"))
     else:
         labelled = members.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
         open_blocks = labelled.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
         rows = labelled.join(open_blocks.select("block"), "block")
-    jobs = _leaves(rows.join(points, "node"))
-    if refuted is not None:
-        # A refuted pair goes to the jobs of its first node.
-        jobs = jobs.join(
-            refuted.groupBy("a").agg(F.collect_set("b").alias("against")).withColumnRenamed("a", "node"), "node", "left"
-        )
-    else:
+    small = rows.where(F.col("size") <= LEAF).select(
+        F.pmod(F.xxhash64("head"), F.lit(homes)).alias("home"), F.col("block").alias("job"), F.lit(2).alias("side"), "node", "part"
+    )
+    large = _leaves(rows.where(F.col("size") > LEAF), points.select("node", "n"))
+    large = large.select(F.pmod(F.xxhash64("job"), F.lit(homes)).alias("home"), "job", "side", "node", "part")
+    jobs = small.unionByName(large)
+    if refuted is None:
         jobs = jobs.withColumn("against", F.lit(None).cast("array<long>"))
-    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = jobs.repartition(partitions, "job").sortWithinPartitions("job")
-
-    def run(batches):
-        def close(rows):
-            nodes = np.array([r["node"] for r in rows])
-            nodes, first = np.unique(nodes, return_index=True)
-            rows = [rows[i] for i in first]
-            sizes = np.array([r["n"] for r in rows])
-            vectors = [_parse(r["point"], r["n"]) for r in rows]
-            known = {(r["node"], b) for r in rows for b in (r["against"] or ())}
-            return candidate_pairs(
-                nodes, sizes, vectors, np.array([r["part"] for r in rows]), np.array([r["side"] for r in rows]), known, most
-            )
-
-        held, job, pairs = [], None, set()
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["job"] != job and held:
-                    pairs.update(close(held))
-                    held = []
-                job = row["job"]
-                held.append(row)
-            if len(pairs) > 100_000:
-                yield _pairs(pairs)
-                pairs = set()
-        if held:
-            pairs.update(close(held))
-        if pairs:
-            yield _pairs(pairs)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(pairs: set) -> pa.RecordBatch:
-    found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+    else:
+        against = refuted.groupBy("a").agg(F.collect_set("b").alias("against")).withColumnRenamed("a", "node")
+        jobs = jobs.join(against, "node", "left")
+    jobs = store(jobs, "jobs")
+    sent = jobs.select("home", "node").distinct().join(points, "node")
+    sent = sent.select(F.col("home").alias("to"), F.col("node").alias("of"), "n", "point")
+
+    def run(jobs: pa.Table, sent: pa.Table) -> pa.Table:
+        known = {r["of"]: (r["n"], _parse(r["point"], r["n"])) for r in sent.to_pylist()}
+        rows = jobs.sort_by("job").to_pylist()
+        ruled_out = {(r["node"], b) for r in rows for b in (r["against"] or ())}
+        work = Proposals(known, ruled_out, most)
+        for _, group in groupby(rows, key=lambda r: r["job"]):
+            own = {r["node"]: r for r in group}
+            work.block(list(own), [r["part"] for r in own.values()], [r["side"] for r in own.values()])
+        home = rows[0]["home"] if rows else 0
+        found = np.array(work.found, np.int64).reshape(-1, 2)
+        return pa.table({"home": np.full(len(found), home, np.int64), "a": found[:, 0], "b": found[:, 1]})
+
+    both = jobs.groupBy("home").cogroup(sent.groupBy("to"))
+    return both.applyInArrow(run, "home long, a long, b long")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
     """(a, b, linked) on the exact sets, cut again from the texts of one document for each node asked for."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = store(asked.join(holders, "node").select("node", F.col("holder").alias("doc_id")), "wanted")
-    few = passing(rows, id_filter(wanted, "doc_id")).join(wanted, "doc_id").select("node", "text")
-
-    def sets(batches):
-        for batch, texts in slices(batches):
-            own, kept = batch.column(0).to_pylist(), []
-            for node, found in zip(own, shingle_sets([t.encode() for t in texts])):
-                if _node(found) == node:  # a row that shares its id with the holder is another set
-                    kept.append((node, found.astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], ["node", "shingles"]
-            )
-
-    found = store(few.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    first = found.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
-    second = found.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
+    asked = pairs.select("home", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = store(asked.join(holders, "node").select("home", "node", F.col("holder").alias("doc_id")), "wanted")
+    texts = passing(rows, id_filter(wanted, "doc_id")).join(wanted, "doc_id").select(
+        F.col("home").alias("to"), F.col("node").alias("of"), "text"
+    )
     top, whole = SIMILAR
 
-    def compare(batches):
-        for batch in batches:
-            verdicts = []
-            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(one, "<u8"), np.frombuffer(other, "<u8")
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                verdicts.append(whole * same >= top * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], ["a", "b", "linked"]
-            )
+    def compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = {}
+        for part in texts.to_batches(max_chunksize=500):
+            own = part.column(1).to_pylist()
+            for node, found in zip(own, shingle_sets([t.encode() for t in part.column(2).to_pylist()])):
+                if node not in sets and _node(found) == node:  # a row of the same id may hold another set
+                    sets[node] = found
+        ones, others, verdicts = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
+        for one, other in zip(ones, others):
+            x, y = sets[one], sets[other]
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            verdicts.append(whole * same >= top * (len(x) + len(y) - same))
+        return pa.table({"a": pa.array(ones, pa.int64()), "b": pa.array(others, pa.int64()), "linked": pa.array(verdicts, pa.bool_())})
 
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "one", "other")
-    return both.mapInArrow(compare, "a long, b long, linked boolean")
+    both = pairs.groupBy("home").cogroup(texts.groupBy("to"))
+    return both.applyInArrow(compare, "a long, b long, linked boolean")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,10 +425,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points = members.where("point is not null").select("node", "n", "point").dropDuplicates(["node"])
     holders = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("holder"))
 
+    homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), memberships.count() // HOME_NODES)
+
     links = roots = refuted = None
     most = 1
     while True:
-        pairs = store(_propose(memberships, points, roots, refuted, most), "pairs")
+        pairs = store(_propose(memberships, points, homes, roots, refuted, most), "pairs")
         if pairs.isEmpty():
             break
         verdicts = store(_verify(pairs, rows, holders), "verdicts")
