@@ -1,73 +1,145 @@
-"""Encoding by text pieces that no token crosses, with a bounded cache of pieces per Python worker.
+"""Encoding by text pieces that no token crosses, with a bounded table of pieces per Python worker.
 
 A tokenizer's result for a text is the results for its pieces one after the other when pieces are
-cut only where the tokenizer itself always cuts. Words repeat, so most pieces come from the cache;
-the cache holds at most CACHE_ENTRIES pieces of at most CACHE_CHARS characters and is emptied when
-full, which changes the time taken and nothing else.
+cut only where the tokenizer itself always cuts. Words repeat, so most pieces are found in the table;
+all of a slice's pieces are hashed, looked up and put together by numpy. The table is bounded: a
+generation holds GENERATION pieces, and when a new one begins the last but one is forgotten, which
+changes the time taken and nothing else.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Callable, Iterable
-from itertools import accumulate, chain, islice
 
 import numpy as np
 
-CACHE_ENTRIES = 700_000
-CACHE_CHARS = 48
+from tallybook.llm.shingles import spans_hash
 
+GENERATION = 500_000
+RECENT = 60_000
+LONGEST = 64  # bytes; longer pieces are encoded each time
 
-class PieceCache(dict):
-    """piece -> encoded bytes; `encode` takes a list of pieces and gives their values."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        super().__init__()
-        self.encode = encode
+class _Part:
+    """Sorted keys with a second check word, and where the ids of each stand in the pool."""
 
-    def values_of(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.get, pieces))
-        if None not in found:
-            return found
-        gaps = [i for i, value in enumerate(found) if value is None]
-        unseen = dict.fromkeys(pieces[i] for i in gaps)
-        unseen.update(zip(unseen, self.encode(list(unseen))))
-        for i in gaps:
-            found[i] = unseen[pieces[i]]
-        short = {piece: value for piece, value in unseen.items() if len(piece) <= CACHE_CHARS}
-        if len(self) + len(short) > CACHE_ENTRIES:
-            self.clear()
-        self.update(islice(short.items(), CACHE_ENTRIES))
-        return found
-
-    def joined(self, cut: list[list[str]]) -> list[bytes]:
-        """Per text, given as its pieces, the values one after the other."""
-        values = self.values_of(list(chain.from_iterable(cut)))
-        ends = accumulate(map(len, cut))
-        return [b"".join(values[end - len(pieces) : end]) for pieces, end in zip(cut, ends)]
-
-
-def cut_before(text: str, blanks: str, runs: Callable[[str], list[str]]) -> list[str]:
-    """Cut before every blank; `runs` does it where blanks stand side by side."""
-    if "\0" in text or any(a + b in text for a in blanks for b in blanks):
-        return runs(text)
-    for blank in blanks:
-        text = text.replace(blank, "\0" + blank)
-    return [piece for piece in text.split("\0") if piece]
+    def __init__(self, keys, checks, begins, sizes):
+        self.keys, self.checks, self.begins, self.sizes = keys, checks, begins, sizes
 
+    @classmethod
+    def empty(cls) -> _Part:
+        return cls(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))
 
-# A byte-level BPE never joins a character with white space after it, so a text may be cut before
-# each run of blanks and line breaks that nothing but such a run adjoins. Texts with other white
-# space (or with what Python, but not the tokenizer's pattern, counts as such) are encoded whole.
-_RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 where it is not here."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
 
+    def merged(self, other: _Part) -> _Part:
+        keys = np.concatenate([self.keys, other.keys])
+        order = np.argsort(keys, kind="stable")
+        both = [np.concatenate([a, b])[order] for a, b in zip(self.columns(), other.columns())]
+        return _Part(*both)
 
-def byte_bpe_pieces(text: str) -> list[str]:
-    return cut_before(text, " \n", _RUNS)
+    def columns(self):
+        return self.keys, self.checks, self.begins, self.sizes
 
 
+class PieceTable:
+    """piece -> ids; `encode` takes a list of pieces (bytes) and gives their ids as uint32 bytes."""
+
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]]):
+        self.encode = encode
+        self.parts = [_Part.empty(), _Part.empty(), _Part.empty()]  # recent, current and former generation
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+
+    def _append(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, new: _Part) -> None:
+        recent, current, former = self.parts
+        recent = recent.merged(new)
+        if len(recent.keys) > RECENT:
+            current, recent = current.merged(recent), _Part.empty()
+        if len(current.keys) > GENERATION:
+            # The former generation goes; the pool keeps the ids of what stays.
+            self.parts = [recent, _Part.empty(), current]
+            kept = np.concatenate([recent.sizes, current.sizes]).astype(np.int64)
+            begins = np.concatenate([recent.begins, current.begins])
+            self.pool = ragged(self.pool, begins, kept)
+            self.used = len(self.pool)
+            moved = np.cumsum(kept) - kept
+            recent.begins, current.begins = moved[: len(recent.keys)], moved[len(recent.keys) :]
+            return
+        self.parts = [recent, current, former]
+
+    def ids(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, number of ids of each piece) for pieces buffer[begin:end]."""
+        if not len(begin):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        hashes = spans_hash(buffer, begin, end)
+        # Length and first seven bytes stand beside the 64-bit hash, so short pieces match exactly.
+        padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+        sizes = end - begin
+        checks = np.minimum(sizes, 255).astype(np.uint64)
+        for k in range(7):
+            checks |= np.where(k < sizes, padded[begin + k], 0).astype(np.uint64) << np.uint64(8 * (k + 1))
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        wanted, place, count = checks[first], np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        open_ = np.arange(len(keys))
+        stale = None
+        for which, part in enumerate(self.parts):
+            at = part.find(keys[open_], wanted[open_])
+            hit = at >= 0
+            place[open_[hit]], count[open_[hit]] = part.begins[at[hit]], part.sizes[at[hit]]
+            if which == 2:
+                stale = open_[hit]
+            open_ = open_[~hit]
+        if len(open_):
+            raw = buffer.tobytes()
+            spans = zip(begin[first[open_]].tolist(), end[first[open_]].tolist())
+            encoded = list(self.encode([raw[a:b] for a, b in spans]))
+            count[open_] = [len(e) // 4 for e in encoded]
+            place[open_] = self._append(np.frombuffer(b"".join(encoded), np.uint32)) + np.cumsum(count[open_]) - count[open_]
+        found = ragged(self.pool, place[back], count[back])
+        keep = np.sort(np.concatenate([open_[sizes[first[open_]] <= LONGEST], stale]))
+        if len(keep):
+            self._learn(_Part(keys[keep], wanted[keep], place[keep], count[keep].astype(np.int32)))
+        return found, count[back]
+
+    def texts(self, raw: list[bytes], cut: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        """Ids of each text; `cut` gives the places where pieces begin, besides those where texts do."""
+        sizes = np.array([len(t) for t in raw], np.int64)
+        ends = np.cumsum(sizes)
+        buffer = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(buffer):
+            return [np.empty(0, np.uint32) for _ in raw]
+        starts = cut(buffer)
+        starts[(ends - sizes)[sizes > 0]] = True
+        begin = np.flatnonzero(starts)
+        ids, counts = self.ids(buffer, begin, np.append(begin[1:], len(buffer)))
+        stops = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begin, ends)]
+        return np.split(ids, stops[:-1])
+
+
+def ragged(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[begin : begin + size] of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
+
+
+# A byte-level BPE never joins a character with white space after it, so a text may be cut before
+# each run of blanks and line breaks that nothing but such a run adjoins. Texts with other white
+# space (or with what Python, but not the tokenizer's pattern, counts as such) are encoded whole.
 _OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
 
@@ -75,6 +147,13 @@ def _other_space(text: str) -> bool:
     return any(space in text for space in _OTHER_SPACES)
 
 
+def _before_blanks(buffer: np.ndarray) -> np.ndarray:
+    blank = (buffer == 32) | (buffer == 10)
+    starts = blank.copy()
+    starts[1:] &= ~blank[:-1]
+    return starts
+
+
 _tokenizers: dict[str, object] = {}
 
 
@@ -96,18 +175,18 @@ def _library_ids(path: str, pieces: list[str]) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in encoded]
 
 
-_caches: dict[str, PieceCache] = {}
+_tables: dict[str, PieceTable] = {}
 
 
 def byte_bpe_ids(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of whole texts, as the tokenizers library encodes them without special tokens."""
-    if path not in _caches:
-        _caches[path] = PieceCache(lambda pieces: _library_ids(path, pieces))
+    if path not in _tables:
+        _tables[path] = PieceTable(lambda pieces: _library_ids(path, [p.decode() for p in pieces]))
     whole = [i for i, text in enumerate(texts) if _other_space(text)]
-    cut = [byte_bpe_pieces(t) for t in texts]
+    raw = [t.encode() for t in texts]
     for i in whole:
-        cut[i] = []
-    found = _caches[path].joined(cut)
+        raw[i] = b""
+    found = _tables[path].texts(raw, _before_blanks)
     for i, ids in zip(whole, _library_ids(path, [texts[i] for i in whole])):
-        found[i] = ids
-    return [np.frombuffer(ids, "<u4") for ids in found]
+        found[i] = np.frombuffer(ids, np.uint32)
+    return found

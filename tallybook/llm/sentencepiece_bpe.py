@@ -22,18 +22,17 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallybook.llm.chunks import PieceCache, cut_before
+from tallybook.llm.chunks import PieceTable, ragged
 from tallybook.llm.common import limited, slices, texts_of
 
 BLANK = "▁"
 BEGIN, END = 1, 2
-PAIR_ENTRIES = 1_500_000
+PAIR_ENTRIES = 400_000
 NEVER = float("inf")
 
 
@@ -75,8 +74,8 @@ class Vocabulary:
             raise ValueError("a merge-type model with byte fallback and without normalization is needed")
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         single = {piece for piece in normal if len(piece) == 1}
-        if any(set(piece) - single or BLANK in piece.lstrip(BLANK) for piece in normal):
-            raise ValueError("pieces must be built of single pieces, with blanks only in front")
+        if any(set(piece) - single or BLANK in piece.lstrip(BLANK) or "\n" in piece for piece in normal):
+            raise ValueError("pieces must be built of single pieces, with blanks only in front, without line breaks")
         self.path = path
         self.rank = {p: -model.pieces[i].score if len(p) > 1 else NEVER for p, i in normal.items()}
         self.bytes_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
@@ -141,7 +140,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.width = len(vocabulary.surface)
         self.pairs: dict[int, bool] = {}
-        self.cache = PieceCache(lambda pieces: [self.encode_piece(p) for p in pieces])
+        self.cache = PieceTable(lambda pieces: [self.encode_piece(p.decode().replace(" ", BLANK)) for p in pieces])
         sizes = np.array([len(s) for s in vocabulary.surface], np.int64)
         self.sizes, self.offsets = sizes, np.cumsum(sizes) - sizes
         self.table = np.frombuffer(b"".join(vocabulary.surface), np.uint8)
@@ -179,18 +178,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts with begin and end ids."""
-        cut = [cut_before(BLANK + t.replace(" ", BLANK), BLANK + "\n", _RUNS) if t else [] for t in texts]
-        ends = (np.array([BEGIN], "<u4").tobytes(), np.array([END], "<u4").tobytes())
-        return [np.frombuffer(ends[0] + ids + ends[1], "<u4") for ids in self.cache.joined(cut)]
+        begin, end = np.array([BEGIN], "<u4"), np.array([END], "<u4")
+        raw = [b" " + t.replace(BLANK, " ").encode() if t else b"" for t in texts]
+        return [np.concatenate([begin, ids, end]) for ids in self.cache.texts(raw, _before_words)]
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """Texts of ids; bytes that are no UTF-8 become replacement characters."""
         ids = np.concatenate(rows) if rows else np.empty(0, "<u4")
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total) + np.repeat(self.offsets[ids] - (ends - sizes), sizes)
-        out = self.table[places].tobytes()
+        out = ragged(self.table, self.offsets[ids], sizes).tobytes()
         stops = np.cumsum([len(r) for r in rows])
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], stops])] if rows else []
         texts = []
@@ -207,7 +204,16 @@ class Encoder:
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
-_RUNS = re.compile(f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+").findall
+def _before_words(buffer: np.ndarray) -> np.ndarray:
+    """Before each run of blanks, and around line breaks, which are no part of any piece."""
+    starts = buffer == 32
+    starts[1:] &= ~starts[:-1]
+    line = buffer == 10
+    starts |= line
+    starts[1:] |= line[:-1]
+    return starts
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -258,18 +264,29 @@ def decode_ids(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def op3_sentencepiece(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    def digest(batches):
-        for batch in batches:
-            ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """Digests of each text's ids and of the text decoded from them, in one pass and one worker per task."""
+    rows = texts_of(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(_default(model_path)))
+
+    def run(batches):
+        for batch, texts in slices(batches):
+            ids = _encoder(shared).encode(texts)
+            back = _encoder(shared).decode(ids)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in ids]),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
+                    batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [c.split()[0] for c in DIGESTS.split(", ")],
             )
 
-    both = decode_ids(encode_texts(docs, model_path), model_path)
-    return both.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, DIGESTS)
+
+
+def op3_sentencepiece(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    return round_trip(docs, model_path)

@@ -17,7 +17,7 @@ _WORD[[32, 9, 10, 11, 12, 13]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_PIECE = 1 << 22
+_PIECE = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -36,29 +36,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def runs(texts: list[bytes], classes: np.ndarray):
-    """Maximal runs of bytes of one class other than 0, lower-casing A-Z: (hashes, begin, end, buffer, stops)."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    kind = classes[buffer]
-    change = np.flatnonzero(np.diff(kind, prepend=0))
-    begin = change[kind[change] != 0]
-    end = np.append(change, len(buffer))[np.searchsorted(change, begin) + 1]
+def spans_hash(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of buffer[begin:end], ascending spans that do not overlap; `codes` maps bytes first."""
     hashes = np.empty(len(begin), np.uint64)
     word = 0
     while word < len(begin):
-        # Pieces of the buffer keep the tables of powers small; a longer word is a piece of its own.
+        # Pieces of the buffer keep the tables of powers small; a longer span is a piece of its own.
         first = begin[word]
         stop = max(word + 1, int(np.searchsorted(end, first + _PIECE, "right")))
         b, e = begin[word:stop] - first, end[word:stop] - first
         size = int(e[-1])
         up, down = _powers(_PIECE if size <= _PIECE else 1 << size.bit_length())
-        codes = _LOWER[buffer[first : first + size]].astype(np.uint64) + np.uint64(1)
+        part = buffer[first : first + size]
+        part = (part if codes is None else codes[part]).astype(np.uint64) + np.uint64(1)
+        part *= up[:size]
         total = np.zeros(size + 1, np.uint64)
-        np.cumsum(codes * up[:size], out=total[1:])
+        np.cumsum(part, out=total[1:])
         hashes[word:stop] = (total[e] - total[b]) * down[b]
         word = stop
-    return mix(hashes), begin, end, buffer, np.searchsorted(begin, ends)
+    return mix(hashes)
+
+
+def runs(texts: list[bytes], classes: np.ndarray):
+    """Maximal runs of bytes of one class other than 0, lower-casing A-Z: (hashes, begin, end, buffer, stops)."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    kind = classes[buffer]
+    change = np.flatnonzero(np.diff(kind, prepend=0))
+    begin = change[kind[change] != 0]
+    end = np.append(change, len(buffer))[np.searchsorted(change, begin) + 1]
+    return spans_hash(buffer, begin, end, _LOWER), begin, end, buffer, np.searchsorted(begin, ends)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
