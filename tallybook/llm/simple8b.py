@@ -184,33 +184,39 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> N
     rows.mapInArrow(pack, CHUNK).write.option("compression", "zstd").parquet(path)
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """(shard, doc_id, start in its shard, n_tokens, ids as little-endian unsigned 32-bit) from the files."""
+def _documents(batches):
+    """(shard, document ids, begins in the shard, lengths, ids) of each chunk, decoded."""
     null_id = np.iinfo(np.int64).min
+    for batch in batches:
+        for row in batch.to_pylist():
+            lengths = np.frombuffer(row["lengths"], "<i8")
+            words, offsets = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["offsets"], "<u4")
+            ids = decode(words, offsets, row["n_ids"]).astype("<u4")
+            stops = np.cumsum(lengths)
+            doc_ids = [None if d == null_id else d for d in np.frombuffer(row["doc_ids"], "<i8").tolist()]
+            yield row["shard"], doc_ids, stops - lengths + row["first"], lengths, np.split(ids, stops[:-1])
+
+
+def read_ids(spark, path: str, digest: bool = False) -> DataFrame:
+    """(shard, doc_id, start in its shard, n_tokens) and ids as little-endian unsigned 32-bit, from the files.
+
+    With `digest`, the ids' crc32 stands in their place, taken where they are decoded.
+    """
+    name, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
     schema = pa.schema(
-        [("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
+        [("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (name, kind)]
     )
 
     def unpack(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.frombuffer(row["lengths"], "<i8")
-                words, offsets = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["offsets"], "<u4")
-                ids = decode(words, offsets, row["n_ids"]).astype("<u4")
-                ends = np.cumsum(lengths)
-                begins = ends - lengths
-                doc_ids = [None if d == null_id else d for d in np.frombuffer(row["doc_ids"], "<i8").tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["shard"]] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()),
-                        pa.array(begins + row["first"], pa.int64()), pa.array(lengths, pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+        for shard, doc_ids, starts, lengths, ids in _documents(batches):
+            raw = (i.tobytes() for i in ids)
+            values = [zlib.crc32(r) for r in raw] if digest else list(raw)
+            columns = [[shard] * len(doc_ids), doc_ids, starts, lengths, values]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     chunks = spark.read.schema(CHUNK).parquet(path)
-    return chunks.mapInArrow(unpack, "shard int, doc_id long, start long, n_tokens long, ids binary")
+    last = "ids_crc32 long" if digest else "ids binary"
+    return chunks.mapInArrow(unpack, f"shard int, doc_id long, start long, n_tokens long, {last}")
 
 
 def shard_bases(spark, path: str) -> DataFrame:
@@ -232,17 +238,7 @@ def op1_simple8b(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
     path = f"{shared_dir(spark)}/tables/ids_{uuid.uuid4().hex}"
     write_ids(docs, path, tokenizer_path, end_id)
 
-    def checksum(batches):
-        for batch in batches:
-            sums = [zlib.crc32(b) for b in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in range(4)] + [pa.array(sums, pa.int64())],
-                ["shard", "doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    back = read_ids(spark, path).mapInArrow(
-        checksum, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    back = read_ids(spark, path, digest=True)
     bases = F.broadcast(shard_bases(spark, path))  # one row per partition of the table
     return back.join(bases, "shard").select(
         "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"
