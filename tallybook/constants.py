@@ -83,4 +83,5 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 MAX_UNZIPPED_BYTES = 50 * 1024 * 1024
 MAX_ARCHIVE_ENTRIES = 1_000
 MAX_COLUMNS = 100
+MAX_ROWS = 1_048_576  # of a workbook's sheet, by its file format
 PREVIEW_ROWS = 10

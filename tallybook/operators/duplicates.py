@@ -197,15 +197,18 @@ def canonical(transactions: DataFrame) -> DataFrame:
 
 
 def existing_matches(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored valid rows sharing a source key or fingerprint with any new row."""
-    valid = stored.where(F.col("status") == VALID).withColumn("_key", _source_key())
-    wanted = new.select(_source_key().alias("_key"), "fingerprint")
-    by_source = valid.where(~F.col("_key").startswith(_NO_SOURCE)).join(
-        wanted.select("_key"), "_key", "left_semi"
+    """Stored valid rows sharing a source key or fingerprint with any new row.
+
+    Only ids, keys and state of stored rows are read; nothing else is needed of them.
+    """
+    valid = stored.where(F.col("status") == VALID).select(
+        "id", "upload_id", "bank_key", "source_id_key", "fingerprint", "status", "duplicate_of",
+        _source_key().alias("_key"),
     )
+    wanted = new.select(_source_key().alias("_key"), "fingerprint")
+    by_source = valid.where(~F.col("_key").startswith(_NO_SOURCE)).join(wanted.select("_key"), "_key", "left_semi")
     by_content = valid.join(wanted.select("fingerprint"), "fingerprint", "left_semi")
-    both = by_source.select("id").union(by_content.select("id")).distinct()
-    return valid.drop("_key").join(both, "id", "left_semi")
+    return by_source.unionByName(by_content).drop("_key").dropDuplicates(["id"])
 
 
 def resolution_counts(resolved: DataFrame, *keys: str) -> DataFrame:

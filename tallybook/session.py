@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 BUCKETS = "spark.tallybook.buckets"
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Stages stored inside the block lie in a folder of their own, which is removed at its end.
+
+    For jobs that run again and again, such as the batches of a stream: what must outlast the
+    block has to be written elsewhere inside it.
+    """
+    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def store(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """Write a stage as a table in the shared folder and read it back.
 
@@ -68,7 +90,7 @@ def store(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    path = f"{shared_dir(spark)}/tables/{table}"
+    path = f"{_scratch.get() or f'{shared_dir(spark)}/tables'}/{table}"
     buckets = spark.conf.get(BUCKETS, None)
     if key is not None and buckets:
         keyed = df.repartition(int(buckets), key)
