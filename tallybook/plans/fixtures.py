@@ -156,3 +156,52 @@ UNION ALL SELECT file_name, 'Setup', 2, concat('str:C-', c) FROM b
 UNION ALL SELECT file_name, 'Transactions', 1, 'str:Date~str:Description~str:Amount~~str:Paid' FROM b
 UNION ALL SELECT file_name, 'Transactions', 2, concat('datetime:', day, '~str:Order <', k, '>~float:', price, '~int:', c, '~bool:true') FROM b
 UNION ALL SELECT file_name, 'Transactions', 3, 'formula:=C2*2' FROM b"""
+
+
+def faulty(content: bytes, kind: int) -> bytes:
+    """A workbook broken in one part, or with an outside link (0); kinds above 7 stay as they are."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        parts = {name: archive.read(name) for name in archive.namelist()}
+    sheet = "xl/worksheets/sheet2.xml"
+    if kind == 0:
+        parts["xl/externalLinks/externalLink1.xml"] = b"<externalLink/>"
+    elif kind == 1:
+        parts["xl/vbaProject.bin"] = b"macro"
+    elif kind == 2:
+        del parts["xl/workbook.xml"]
+    elif kind == 3:
+        parts[sheet] = parts[sheet].replace(b"<row>", b'<row r="2000000">', 1)
+    elif kind == 4:
+        parts[sheet] = parts[sheet].replace(b"<sheetData>", b'<dimension ref="A1:ZZ9"/><sheetData>')
+    elif kind == 5:
+        parts["xl/_rels/workbook.xml.rels"] = parts["xl/_rels/workbook.xml.rels"].replace(b"Target", b"Goal")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, part in parts.items():
+            archive.writestr(name, part)
+    made = bytearray(buffer.getvalue())
+    if kind == 6:  # every member marked as encrypted
+        for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+            place = made.find(mark)
+            while place >= 0:
+                made[place + at] |= 1
+                place = made.find(mark, place + 4)
+    return bytes(made[:100] if kind == 7 else made)
+
+
+def faulty_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workbooks of all orders; the last digit of the order's key decides what is wrong with one."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kinds = batch["file_name"].str.extract(r"(\d)\.xlsx$")[0].astype(int)
+            yield batch.assign(content=[faulty(bytes(c), k) for c, k in zip(batch["content"], kinds)])
+
+    return order_workbooks(spark, sf_dir).mapInPandas(build, "file_name string, content binary")
+
+
+WORKBOOK_FACTS_SQL = """WITH b AS (SELECT concat('book-', o_orderkey, '.xlsx') AS file_name, o_orderkey % 10 AS k FROM orders)
+SELECT file_name, NULL::varchar AS sheet, CASE k WHEN 1 THEN 'unsafe_archive' WHEN 4 THEN 'too_many_columns' ELSE 'invalid_xlsx' END AS code, NULL::int AS formulas,
+  NULL::varchar AS warnings FROM b WHERE k BETWEEN 1 AND 7
+UNION ALL SELECT file_name, 'Setup', NULL, 0, CASE k WHEN 0 THEN 'external_links' ELSE '' END FROM b WHERE k NOT BETWEEN 1 AND 7
+UNION ALL SELECT file_name, 'Transactions', NULL, 1, CASE k WHEN 0 THEN 'external_links' ELSE '' END FROM b WHERE k NOT BETWEEN 1 AND 7"""

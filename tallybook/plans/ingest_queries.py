@@ -139,6 +139,15 @@ def xlsx_records(spark, sf_dir):
     )
 
 
+@query("e_a7_e18_workbook_problems", fixtures.WORKBOOK_FACTS_SQL)
+def workbook_problems(spark, sf_dir):
+    """Broken workbooks are refused with a code; sound ones show formulas and outside links."""
+    scanned = scan.scan(files.accepted_files(files.identify(fixtures.faulty_workbooks(spark, sf_dir))))
+    return scan.file_facts(scanned).select(
+        "file_name", "sheet", "code", "formulas", F.array_join("warnings", ",").alias("warnings")
+    )
+
+
 _CELLS = ("source_id", "date_text", "description_text", "amount_text", "currency_text", "bank_text")
 
 
