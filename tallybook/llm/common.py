@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def limited(spark: SparkSession) -> SparkSession:
     """Bound the bytes, not only the rows, that travel to Python at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * 1024 * 1024))
     return spark
 
 
@@ -51,6 +51,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             part = batch.slice(begin, end - begin)
             yield part, column.slice(begin, end - begin).to_pylist()
             begin = end
+    # Workers live on between tasks: what Arrow keeps for reuse goes back now.
+    pa.default_memory_pool().release_unused()
 
 
 # An IdFilter has this many bits: 2 MB on every executor, whatever the number of ids.

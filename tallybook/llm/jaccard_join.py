@@ -13,10 +13,10 @@ members are one; a block of more than LEAF points is cut by size into leaves, an
 them, are what a task takes. Inside, boxes of FANOUT points are compared before their points.
 
 What survives is verified on the exact sets. Only connectivity is asked for, so a round proposes
-for each block a few pairs between parts not yet connected (one in the first round, 16 times as many
+for each block a few pairs between parts not yet connected (one in the first round, 64 times as many
 in each later one), verified pairs join components, refuted ones are not asked again, and rounds go
-on until no surviving pair lies between two components: every pair is then linked, refuted, or
-already within one component, and no group of copies is expanded into its pairs.
+on with the blocks that had more to offer until no surviving pair lies between two components: every
+pair is then linked, refuted, or within one component, and no group of copies becomes its pairs.
 
 Defined cases: null or word-less texts have the empty set, linked with nothing; texts of one to four
 words have one shingle, their sequence; equal sets are linked whatever their size; rows that share
@@ -44,7 +44,7 @@ FREQUENT = 1 << 16  # shingles ordered last: a bound on what the driver sends ro
 LEAF = 1024
 FANOUT = 16
 BUCKET_SIGNATURES = 1 << 21
-HOME_NODES = 8_000
+HOME_NODES = 3_000
 
 
 def _node(found: np.ndarray) -> int:
@@ -67,7 +67,15 @@ def _point(found: np.ndarray) -> bytes:
 
 def _parse(point: bytes, n: int) -> np.ndarray:
     dims = _dims(n)
-    return np.frombuffer(point, "<u1" if len(point) == dims else "<u4").astype(np.int32)
+    return np.frombuffer(point, "<u1" if len(point) == dims else "<u4")
+
+
+def _folded(point: np.ndarray, dims: int) -> np.ndarray:
+    """The point over fewer groups, in the narrowest type that holds its counts."""
+    if len(point) == dims:
+        return point
+    counts = point.reshape(-1, dims).sum(0, dtype=np.uint32)
+    return counts.astype(np.min_scalar_type(int(counts.max())))
 
 
 class _Frequent:
@@ -79,7 +87,7 @@ class _Frequent:
     def add(self, hashes: np.ndarray) -> None:
         self.pending.append(hashes)
         self.size += len(hashes)
-        if self.size > 2_000_000:
+        if self.size > 500_000:
             self.settle()
 
     def settle(self) -> None:
@@ -159,7 +167,7 @@ def _signatures(rows: DataFrame, frequent, buckets: int) -> DataFrame:
                 prefix = found[: _prefix(len(found))]
                 held.append((prefix, np.full(len(prefix), node, np.int64)))
                 size += len(prefix)
-            if size > 1_000_000:
+            if size > 300_000:
                 yield pack()
                 held, size = [], 0
         if held:
@@ -214,13 +222,13 @@ class Tree:
         """Points from place `begin` on that may overlap enough, and their overlap bounds."""
         top, whole = SIMILAR
         first = begin // FANOUT
-        bound = np.minimum(self.upper[first:], point).sum(1)
+        bound = np.minimum(self.upper[first:], point).sum(1, dtype=np.int64)
         boxes = first + np.flatnonzero((top + whole) * bound >= top * (size + self.least[first:]))
         if not len(boxes):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = (self.starts[boxes][:, None] + np.arange(FANOUT)).reshape(-1)
         at = at[(at >= begin) & (at < len(self.points))]
-        bound = np.minimum(self.points[at], point).sum(1)
+        bound = np.minimum(self.points[at], point).sum(1, dtype=np.int64)
         enough = (top + whole) * bound >= top * (size + self.sizes[at])
         return at[enough], bound[enough]
 
@@ -234,6 +242,7 @@ class Proposals:
         self.asked: dict[tuple[int, int], int] = {}
         self.tried: set[tuple[int, int]] = set()
         self.found: list[tuple[int, int]] = []
+        self.more = False  # whether the block at hand has candidates that were not taken
 
     def part(self, x: int) -> int:
         while self.parent.get(x, x) != x:
@@ -243,11 +252,12 @@ class Proposals:
     def offer(self, one: int, other: int, part: int, other_part: int) -> None:
         """Take a pair that the bounds let through, unless it is refuted or its parts have enough."""
         pair = (one, other) if one < other else (other, one)
-        x, y = self.part(part), self.part(other_part)
-        if x == y or pair in self.refuted or pair in self.tried:
+        if part == other_part or pair in self.refuted or pair in self.tried:
             return
+        x, y = self.part(part), self.part(other_part)
         key = (x, y) if x < y else (y, x)
-        if self.asked.get(key, 0) >= self.most:
+        if x == y or self.asked.get(key, 0) >= self.most:
+            self.more = True
             return
         self.asked[key] = self.asked.get(key, 0) + 1
         self.tried.add(pair)
@@ -257,7 +267,11 @@ class Proposals:
 
     def block(self, nodes: list[int], parts: list[int], sides: list[int]) -> None:
         """`sides` are 0 and 1 for a pair of leaves, where only pairs across count, or all 2."""
+        self.more = False
+        if len(set(parts)) < 2:
+            return
         if len({self.part(p) for p in parts}) < 2:
+            self.more = True
             return
         order = sorted(range(len(nodes)), key=lambda i: (self.points[nodes[i]][0], nodes[i]))
         nodes, parts, sides = ([c[i] for i in order] for c in (nodes, parts, sides))
@@ -275,15 +289,13 @@ class Proposals:
             for j in range(i + 1, len(nodes)):
                 if top * sizes[j] > whole * sizes[i]:
                     break
-                if (sides[i] != 2 and sides[i] == sides[j]) or self.part(parts[i]) == self.part(parts[j]):
+                if (sides[i] != 2 and sides[i] == sides[j]) or parts[i] == parts[j]:
                     continue
                 pair = (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
                 if pair in self.tried or pair in self.refuted:
                     continue
-                other = points[j]
-                if len(other) != len(points[i]):
-                    other = other.reshape(-1, len(points[i])).sum(0)
-                if (top + whole) * int(np.minimum(points[i], other).sum()) >= top * (sizes[i] + sizes[j]):
+                other = _folded(points[j], len(points[i]))
+                if (top + whole) * int(np.minimum(points[i], other).sum(dtype=np.int64)) >= top * (sizes[i] + sizes[j]):
                     self.offer(nodes[i], nodes[j], parts[i], parts[j])
 
     def _tree(self, nodes, parts, sides, sizes, points) -> None:
@@ -292,7 +304,7 @@ class Proposals:
         trees = {}
         for d in np.unique(dims).tolist():
             rows = np.flatnonzero((dims == d) | (dims == 2 * d))
-            trees[d] = rows, Tree(np.stack([points[i].reshape(-1, d).sum(0) for i in rows]), sizes[rows])
+            trees[d] = rows, Tree(np.stack([_folded(points[i], d) for i in rows]), sizes[rows])
         for i in range(len(nodes)):
             rows, tree = trees[int(dims[i])]
             at, bound = tree.near(points[i], int(sizes[i]), int(np.searchsorted(rows, i)) + 1)
@@ -335,31 +347,41 @@ def _leaves(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.join(sides, ["block", "leaf"]).select("job", "side", "node", "part")
 
 
-def _propose(
-    members: DataFrame, points: DataFrame, homes: int, roots: DataFrame | None, refuted: DataFrame | None, most: int
-) -> DataFrame:
-    """(home, a, b) to verify: what the trees of all blocks with more than one component let through.
+def _jobs(members: DataFrame, points: DataFrame, homes: int, cut: bool) -> DataFrame:
+    """(home, job, side, node, part): blocks, or leaves and pairs of leaves of large ones, every node its own part.
 
     A home takes the blocks of one smallest node, so a group's blocks share the points sent there.
     """
-    if roots is None:
-        rows = members.withColumn("part", F.col("node"))
-    else:
-        labelled = members.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-        open_blocks = labelled.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
-        rows = labelled.join(open_blocks.select("block"), "block")
-    small = rows.where(F.col("size") <= LEAF).select(
+    rows = members.withColumn("part", F.col("node"))
+    jobs = rows.where(F.col("size") <= LEAF).select(
         F.pmod(F.xxhash64("head"), F.lit(homes)).alias("home"), F.col("block").alias("job"), F.lit(2).alias("side"), "node", "part"
     )
-    large = _leaves(rows.where(F.col("size") > LEAF), points.select("node", "n"))
-    large = large.select(F.pmod(F.xxhash64("job"), F.lit(homes)).alias("home"), "job", "side", "node", "part")
-    jobs = small.unionByName(large)
+    if cut:
+        large = _leaves(rows.where(F.col("size") > LEAF), points.select("node", "n"))
+        large = large.select(F.pmod(F.xxhash64("job"), F.lit(homes)).alias("home"), "job", "side", "node", "part")
+        jobs = jobs.unionByName(large)
+    return jobs
+
+
+def _left_over(jobs: DataFrame, flagged: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Jobs that had more candidates than were taken and still hold more than one component."""
+    rows = jobs.join(flagged, "job", "left_semi")
+    if roots is not None:
+        rows = rows.join(roots, "node", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+    still = rows.groupBy("job").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
+    return rows.join(still.select("job"), "job", "left_semi")
+
+
+def _propose(jobs: DataFrame, points: DataFrame, refuted: DataFrame | None, most: int) -> DataFrame:
+    """(home, a, b, job): pairs to verify, and (with a and b null) the jobs that have more of them.
+
+    `jobs` must be a stored table.
+    """
     if refuted is None:
         jobs = jobs.withColumn("against", F.lit(None).cast("array<long>"))
     else:
         against = refuted.groupBy("a").agg(F.collect_set("b").alias("against")).withColumnRenamed("a", "node")
         jobs = jobs.join(against, "node", "left")
-    jobs = store(jobs, "jobs")
     sent = jobs.select("home", "node").distinct().join(points, "node")
     sent = sent.select(F.col("home").alias("to"), F.col("node").alias("of"), "n", "point")
 
@@ -368,19 +390,26 @@ def _propose(
         rows = jobs.sort_by("job").to_pylist()
         ruled_out = {(r["node"], b) for r in rows for b in (r["against"] or ())}
         work = Proposals(known, ruled_out, most)
-        for _, group in groupby(rows, key=lambda r: r["job"]):
+        flagged = []
+        for job, group in groupby(rows, key=lambda r: r["job"]):
             own = {r["node"]: r for r in group}
             work.block(list(own), [r["part"] for r in own.values()], [r["side"] for r in own.values()])
+            if work.more:
+                flagged.append(job)
         home = rows[0]["home"] if rows else 0
-        found = np.array(work.found, np.int64).reshape(-1, 2)
-        return pa.table({"home": np.full(len(found), home, np.int64), "a": found[:, 0], "b": found[:, 1]})
+        found = [(home, a, b, None) for a, b in work.found] + [(home, None, None, job) for job in flagged]
+        columns = list(zip(*found)) or [[]] * 4
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("home", "a", "b", "job"), columns)})
 
     both = jobs.groupBy("home").cogroup(sent.groupBy("to"))
-    return both.applyInArrow(run, "home long, a long, b long")
+    return both.applyInArrow(run, "home long, a long, b long, job long")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
-    """(a, b, linked) on the exact sets, cut again from the texts of one document for each node asked for."""
+    """(a, b, linked) on the exact sets, cut again from the texts of one document for each node asked for.
+
+    Refuted pairs come back as they are, linked ones as links of the components they make.
+    """
     asked = pairs.select("home", F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = store(asked.join(holders, "node").select("home", "node", F.col("holder").alias("doc_id")), "wanted")
     texts = passing(rows, id_filter(wanted, "doc_id")).join(wanted, "doc_id").select(
@@ -395,12 +424,26 @@ def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
             for node, found in zip(own, shingle_sets([t.encode() for t in part.column(2).to_pylist()])):
                 if node not in sets and _node(found) == node:  # a row of the same id may hold another set
                     sets[node] = found
-        ones, others, verdicts = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
-        for one, other in zip(ones, others):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for one, other in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
             x, y = sets[one], sets[other]
             same = len(np.intersect1d(x, y, assume_unique=True))
-            verdicts.append(whole * same >= top * (len(x) + len(y) - same))
-        return pa.table({"a": pa.array(ones, pa.int64()), "b": pa.array(others, pa.int64()), "linked": pa.array(verdicts, pa.bool_())})
+            if whole * same >= top * (len(x) + len(y) - same):
+                parent[max(root(one), root(other))] = min(root(one), root(other))
+            else:
+                found.append((one, other, False))
+        # Links of one home as stars: the same components, in shorter chains.
+        found += [(root(x), x, True) for x in parent if root(x) != x]
+        columns = list(zip(*found)) or [[]] * 3
+        types = (pa.int64(), pa.int64(), pa.bool_())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("a", "b", "linked"), columns, types)})
 
     both = pairs.groupBy("home").cogroup(texts.groupBy("to"))
     return both.applyInArrow(compare, "a long, b long, linked boolean")
@@ -422,24 +465,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4 // BUCKET_SIGNATURES)
     blocks = _blocks(_signatures(rows, frequent, buckets))
     memberships = store(_memberships(blocks), "memberships")
-    points = members.where("point is not null").select("node", "n", "point").dropDuplicates(["node"])
-    holders = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("holder"))
-
-    homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), memberships.count() // HOME_NODES)
-
+    # One row for each set: its point, and the smallest id of a document that has it.
+    nodes = members.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("holder"), F.first("n").alias("n"), F.first("point", ignorenulls=True).alias("point")
+    )
+    nodes = store(nodes, "nodes")
+    points, holders = nodes.select("node", "n", "point"), nodes.select("node", "holder")
+    shape = memberships.agg(F.count("*").alias("rows"), F.max("size").alias("largest")).first()
+    homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shape["rows"] // HOME_NODES)
+    cut = (shape["largest"] or 0) > LEAF  # without a block of several leaves there is no pair of leaves
+    jobs = store(_jobs(memberships, points, homes, cut), "jobs")
     links = roots = refuted = None
     most = 1
     while True:
-        pairs = store(_propose(memberships, points, homes, roots, refuted, most), "pairs")
-        if pairs.isEmpty():
+        proposed = store(_propose(jobs, points, refuted, most), "proposed")
+        pairs = proposed.where("a is not null").select("home", "a", "b")
+        if not pairs.isEmpty():
+            verdicts = store(_verify(pairs, rows, holders), "verdicts")
+            fresh = verdicts.where("linked").select("a", "b")
+            links = fresh if links is None else links.unionByName(fresh)
+            fails = verdicts.where(~F.col("linked")).select("a", "b")
+            refuted = fails if refuted is None else refuted.unionByName(fails)
+            roots = store(components(links), "roots")
+        flagged = proposed.where("job is not null").select("job")
+        if flagged.isEmpty():
+            break
+        jobs = store(_left_over(jobs, flagged, roots), "jobs")
+        if jobs.isEmpty():
             break
-        verdicts = store(_verify(pairs, rows, holders), "verdicts")
-        fresh = verdicts.where("linked").select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        fails = verdicts.where(~F.col("linked")).select("a", "b")
-        refuted = fails if refuted is None else refuted.unionByName(fails)
-        roots = store(components(links), "roots")
-        most *= 16
+        most *= 64
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     smallest = holders.join(roots, "node").groupBy("root").agg(F.min("holder").alias("component"))
@@ -474,10 +528,12 @@ s AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS MATERIALIZED (
-  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id
-  JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
-  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 75 * (nx.n + ny.n - count(*))),
+k AS MATERIALIZED (SELECT s.doc_id, n, hash(s) AS h, s FROM s JOIN n USING (doc_id)),
+q AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.h = y.h AND x.s = y.s AND x.doc_id < y.doc_id
+  WHERE 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+p AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
 r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.d)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.d = w.doc_id GROUP BY w.doc_id, n.n
