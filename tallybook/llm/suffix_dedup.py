@@ -44,9 +44,9 @@ GRAM = 40
 BLOCK = 8
 GROUP_LIMIT = 20_000
 BUCKET_ANCHORS = 1_000_000
-BUCKET_CONTEXTS = 12_000
+BUCKET_CONTEXTS = 4_000
 _PLACES = np.uint64((1 << 22) - 1)
-_STEP = 1 << 20
+_STEP = 1 << 18
 
 STRETCH = [("anchor", "<u8"), ("context", "<u8"), ("row", "<i8"), ("at", "<u4"), ("back", "u1"), ("last", "u1"), ("state", "u1")]
 
@@ -61,7 +61,7 @@ def stretches(raw: list[bytes]):
         # Windows that begin in this step, and the bytes they reach.
         buffer = whole[step : step + _STEP + LENGTH - 1]
         n = len(buffer)
-        up, down = _powers(1 << 21)
+        up, down = _powers(_STEP + LENGTH)
         codes = (buffer.astype(np.uint64) + np.uint64(1)) * up[:n]
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(codes, out=total[1:])
@@ -132,7 +132,7 @@ def _anchors(rows: DataFrame, buckets: int) -> DataFrame:
             found["at"], found["back"], found["last"] = at, at - lo, at - hi
             held.append(found)
             size += len(found)
-            if size > 400_000:
+            if size > 200_000:
                 yield pack()
                 held, size = [], 0
         if size:
