@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with count-vector R-trees.
 
 Every document is a set of five-word shingles. Equal sets are one node. A node's shingles are hashed
-into groups (a power of two of about half the set's size); the group counts are its point. The
+into groups (a power of two, 256 or about half the set's size); the group counts are its point. The
 overlap of two sets is at most the sum of the coordinate minima of their points, and a link needs
 overlap >= t / (1 + t) * (size + size), so a pair below that is out, and so is a pair of boxes of
 points, bounded by the boxes' upper corners.
@@ -52,7 +52,8 @@ def _node(found: np.ndarray) -> int:
 
 
 def _dims(n: int) -> int:
-    return max(16, 1 << max(0, (max(n, 1) - 1).bit_length() - 1))
+    """Groups for a set of n shingles: many more than shingles for small sets, whose bound is then nearly exact."""
+    return max(256, 1 << max(0, (max(n, 1) - 1).bit_length() - 1))
 
 
 def _prefix(n: int) -> int:
