@@ -3,7 +3,7 @@
 A tokenizer's result for a text is the results for its pieces one after the other when pieces are
 cut only where the tokenizer itself always cuts. Words repeat, so most pieces are found in the table;
 all of a slice's pieces are hashed, looked up and put together by numpy. The table is bounded: a
-generation holds GENERATION pieces, and when a new one begins the last but one is forgotten, which
+generation holds a given number of pieces, and when a new one begins the last but one is forgotten, which
 changes the time taken and nothing else.
 """
 
@@ -52,8 +52,8 @@ class _Part:
 class PieceTable:
     """piece -> ids; `encode` takes a list of pieces (bytes) and gives their ids as uint32 bytes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], generation: int | None = None):
+        self.encode, self.generation = encode, generation or GENERATION
         self.parts = [_Part.empty(), _Part.empty(), _Part.empty()]  # recent, current and former generation
         self.pool, self.used = np.empty(1 << 20, np.uint32), 0
 
@@ -69,7 +69,7 @@ class PieceTable:
         recent = recent.merged(new)
         if len(recent.keys) > RECENT:
             current, recent = current.merged(recent), _Part.empty()
-        if len(current.keys) > GENERATION:
+        if len(current.keys) > self.generation:
             # The former generation goes; the pool keeps the ids of what stays.
             self.parts = [recent, _Part.empty(), current]
             kept = np.concatenate([recent.sizes, current.sizes]).astype(np.int64)

@@ -32,7 +32,8 @@ from tallybook.llm.common import limited, slices, texts_of
 
 BLANK = "▁"
 BEGIN, END = 1, 2
-PAIR_ENTRIES = 400_000
+PAIR_ENTRIES = 200_000
+PIECE_ENTRIES = 200_000
 NEVER = float("inf")
 
 
@@ -140,7 +141,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.width = len(vocabulary.surface)
         self.pairs: dict[int, bool] = {}
-        self.cache = PieceTable(lambda pieces: [self.encode_piece(p.decode().replace(" ", BLANK)) for p in pieces])
+        self.cache = PieceTable(lambda pieces: [self.encode_piece(p.decode().replace(" ", BLANK)) for p in pieces], PIECE_ENTRIES)
         sizes = np.array([len(s) for s in vocabulary.surface], np.int64)
         self.sizes, self.offsets = sizes, np.cumsum(sizes) - sizes
         self.table = np.frombuffer(b"".join(vocabulary.surface), np.uint8)
