@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallybook.llm.common import id_filter, passing, slices, texts_of, without
 from tallybook.llm.components import components
@@ -406,6 +407,22 @@ def _propose(jobs: DataFrame, points: DataFrame, refuted: DataFrame | None, most
     return both.applyInArrow(run, "home long, a long, b long, job long")
 
 
+def _with_node(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows with `__node`, the node of their text's set, null for the empty set."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = []
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], ["text"])
+            for _, part in slices([texts]):
+                nodes += [_node(found) if len(found) else None for found in shingle_sets([t.encode() for t in part])]
+            columns = [*batch.columns[:-1], pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "__node"])
+
+    schema = StructType([*docs.schema.fields, StructField("__node", LongType())])
+    return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
     """(a, b, linked) on the exact sets, cut again from the texts of one document for each node asked for.
 
@@ -413,9 +430,13 @@ def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
     """
     asked = pairs.select("home", F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = store(asked.join(holders, "node").select("home", "node", F.col("holder").alias("doc_id")), "wanted")
-    texts = passing(rows, id_filter(wanted, "doc_id")).join(wanted, "doc_id").select(
-        F.col("home").alias("to"), F.col("node").alias("of"), "text"
-    )
+    shape = [F.col("home").alias("to"), F.col("node").alias("of"), "text"]
+    texts = passing(rows, id_filter(wanted, "doc_id")).join(wanted, "doc_id").select(*shape)
+    lost = wanted.where("doc_id is null")
+    if not lost.isEmpty():  # sets that only rows without an id hold: found by the set itself, one text of each
+        alike = passing(_with_node(rows.where("doc_id is null"), "text"), id_filter(lost, "node"), "__node")
+        alike = alike.dropDuplicates(["__node"]).select("text", "__node")
+        texts = texts.unionByName(alike.join(lost, F.col("__node") == F.col("node")).select(*shape))
     top, whole = SIMILAR
 
     def compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:

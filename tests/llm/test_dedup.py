@@ -96,6 +96,17 @@ def test_jaccard_join(spark, monkeypatch, leaf):
     assert plain(jaccard_join.similar_groups(docs.limit(0))) == []
 
 
+def test_near_copies_without_id(spark):
+    """Sets that only rows without an id hold are verified like any other, against rows with and without one."""
+    text = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(text)), (None, " ".join(text[:-1])), (None, " ".join(text[1:])), (None, " ".join(text[1:]))]
+    rows += [(None, " ".join(other)), (None, " ".join(other[2:])), (None, " ".join(text[:12] + other[:12]))]
+    found = plain(jaccard_join.similar_groups(awkward(spark, rows)))
+    assert found == sorted(components(rows), key=str)
+    assert [c for _, _, c in found].count(1) == 4
+
+
 def test_bounds_never_lose_a_pair():
     """Points bound overlaps from above, folded or not, and the tree returns all that may link."""
     r = np.random.default_rng(3)
