@@ -14,7 +14,8 @@ of assistant turns). One output row is one conversation, the unit a trainer read
 Defined cases: null text and null role are empty; null `conv_id` is a conversation of its own; a
 null `seq` comes first; events equal in sequence number are ordered by message, kind, role, text;
 an event repeated in every column is a redelivery and counts once; a conversation whose messages
-were all discarded gives no row; an empty log gives none; other columns are not read.
+were all discarded gives no row; an empty log gives none; other columns are not read. In a table of
+finished turns every row is a turn: ties and repeats count, and a null turn comes last.
 """
 
 from __future__ import annotations
@@ -42,9 +43,15 @@ def unescape(text: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: one delta for each."""
+    """A table of finished turns as a log: one delta for each row, a message of its own.
+
+    Rows are in order of turn (null last), role and text, so tied turns stay apart; a repeated row
+    is a turn as well, not a redelivery.
+    """
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")
+    place = F.row_number().over(order).cast("long")
     return conversations.select(
-        "conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("delta").alias("kind"), "role", "text"
+        "conv_id", place.alias("seq"), place.alias("message"), F.lit("delta").alias("kind"), "role", "text"
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from pathlib import Path
 
+import duckdb
 import pytest
 from helpers import plain
 
@@ -81,6 +82,25 @@ def test_query(spark):
     assert plain(chat.format_chats(chat.events_of(docs.limit(0)))) == []
 
 
+def test_tied_and_repeated_turns(spark):
+    """Every row of the table is a turn, as in the query's SQL."""
+    rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "a <b>"), (1, 1, "assistant", "a <b>"), (1, None, "user", "end"),
+            (2, 0, "user", "x"), (2, 0, "assistant", "y"), (2, None, "assistant", None), (2, None, "assistant", ""), (None, 3, "assistant", "z"), (None, 3, "assistant", "z")]
+    schema = "conv_id long, turn long, role string, text string"
+    found = {r["conv_id"]: r.asDict() for r in chat.op5_chat_format(spark, spark.createDataFrame(rows, schema)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    names = [c[0] for c in con.execute(chat.SQL).description]
+    want = {r[0]: dict(zip(names, r)) for r in con.fetchall()}
+    assert {c: r["n_turns"] for c, r in found.items()} == {1: 5, 2: 4, None: 2, -7: 2}
+    for conv, row in want.items():
+        tied = {"turns_sha256"} if conv == 2 else set()  # SQL leaves the order of different tied rows open
+        assert all(found[conv][k] == v for k, v in row.items() if k not in tied)
+    line = "assistant\ny\nuser\nx\n" + "assistant\n\n" * 2
+    assert found[2]["turns_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+
+
 def test_main_path_is_native():
     source = Path(chat.__file__).read_text()
     assert not any(word in source for word in ("udf", "mapIn", "applyIn", "rdd", "pandas", "pyarrow"))
