@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallybook.llm.common import id_filter, passing, slices, texts_of, without
+from tallybook.llm.common import id_filter, passing, slices, texts_of
 from tallybook.llm.components import components
 from tallybook.llm.shingles import shingle_sets
 from tallybook.session import store
@@ -471,8 +471,11 @@ def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
     return both.applyInArrow(compare, "a long, b long, linked boolean")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per document."""
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node), one row per document, and (node, component_id, keep_node) for each node.
+
+    Of a component's rows with the id component_id, keep_node is the smallest node.
+    """
     spark = docs.sparkSession
     rows = texts_of(docs, id_col, text_col)
     scanned = store(_scan(rows), "scanned")
@@ -518,25 +521,50 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         most *= 64
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
-    smallest = holders.join(roots, "node").groupBy("root").agg(F.min("holder").alias("component"))
-    of_node = holders.join(roots.join(smallest, "root").select("node", "component"), "node", "left").select(
-        "node", F.coalesce("component", "holder").alias("component_id")
-    )
-    return (
-        members.select("doc_id", "n", "node")
-        .join(of_node, "node", "left")
-        .select(
-            "doc_id", F.col("n").cast("long").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
+    least = F.struct(F.col("holder").isNull().alias("none"), "holder", "node")
+    smallest = holders.join(roots, "node").groupBy("root").agg(F.min(least).alias("least"))
+    of_node = holders.join(roots.join(smallest, "root").select("node", "least"), "node", "left")
+    least = F.coalesce("least", least)
+    of_node = of_node.select("node", least["holder"].alias("component_id"), least["node"].alias("keep_node"))
+    return members.select("doc_id", "n", "node"), of_node
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per document."""
+    members, of_node = _linked(docs, id_col, text_col)
+    return members.join(of_node, "node", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id, with all columns."""
-    found = similar_groups(docs, id_col, text_col)
-    gone = store(found.where("doc_id != component_id").select("doc_id"), "near_copies")
-    return without(docs, gone, id_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows that stay of each component, those of the smallest id, with all columns.
+
+    Rows are told apart by id and set, so a text stays that only shares its id with a near copy.
+    With `repeats`, all rows of the smallest id stay, and all rows without an id. Without, exactly
+    one row of a component stays: of the smallest id (null is larger than any other) that of the
+    smallest node, and one of the rows that have both. Rows of the empty set all stay.
+    """
+    members, of_node = _linked(docs, id_col, text_col)
+    pairs = members.where("n > 0").groupBy("doc_id", "node").agg(F.count("*").alias("copies")).join(of_node, "node")
+    goes = F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))
+    if not repeats:
+        goes = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("keep_node")))
+        pairs = pairs.where(goes | (F.col("copies") > 1))
+    else:
+        pairs = pairs.where(goes)
+    pairs = store(pairs.select("doc_id", "node", goes.alias("goes")), "near_copies")
+    # Only rows with the id of such a pair (and few others) are cut into shingles again and compared.
+    bitmap = id_filter(pairs, "doc_id")
+    doubtful = _with_node(passing(docs, bitmap, id_col), text_col)
+    gone = pairs.where("goes").select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone"))
+    match = doubtful[id_col].cast("long").eqNullSafe(gone["__id"]) & (doubtful["__node"] == gone["__gone"])
+    stay = doubtful.join(gone, match, "left_anti")
+    if not repeats:
+        own = F.when(F.col("__node").isNull(), F.monotonically_increasing_id())
+        stay = stay.withColumn("__own", own).dropDuplicates([id_col, "__node", "__own"]).drop("__own")
+    return passing(docs, bitmap, id_col, among=False).unionByName(stay.drop("__node"))
 
 
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:

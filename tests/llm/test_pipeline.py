@@ -15,6 +15,7 @@ from test_dedup import model_leaks
 
 from tallybook.llm import quality
 from tallybook.llm.common import table
+from tallybook.llm.jaccard_join import keep_one
 from tallybook.llm.queries import QUERIES, SQL
 from tallybook.session import store
 
@@ -63,6 +64,30 @@ def test_awkward_tables(spark, kind):
     assert found.count() == now.count()
 
 
+def test_near_stage_tells_rows_apart(spark):
+    """Rows that share an id, repeated rows and rows without an id: one row of each group of near copies."""
+    a, b, c, d, e = ([f"{x}{i}" for i in range(60)] for x in "abcde")
+    groups = [
+        [(1, a), (2, a[1:]), (None, a[:-1])],  # the smallest id, not a null one
+        [(2, b), (2, b)],  # shares the id of a near copy; repeated
+        [(3, c), (3, c[1:]), (None, c)],  # two sets of the smallest id
+        [(None, d), (None, d[1:]), (None, d[1:])],  # only null ids
+        [(2, e)],
+    ]
+    rows = [(i, " ".join(w)) for g in groups for i, w in g] + [(2, ""), (2, " "), (None, None), (None, None)]
+    docs = spark.createDataFrame([(t, 5, d) for d, t in rows], "text string, node long, doc_id long").repartition(5)
+    kept = corpus_pipeline.near(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    full = [r for r in got if (r[1] or "").strip()]
+    first = [next(n for n, g in enumerate(groups) if t[0] == g[0][1][0][0]) for _, t in full]
+    assert sorted(first) == [0, 1, 2, 3, 4] and sorted(zip(first, (str(i) for i, _ in full))) == [(0, "1"), (1, "2"), (2, "3"), (3, "None"), (4, "2")]
+    assert sorted(str(i) for i, t in got if not (t or "").strip()) == ["2", "2", "None", "None"]
+    # Alone, keep_one leaves repeated rows and those without an id, but also goes by id and set.
+    alone = sorted(str(r["doc_id"]) + r["text"][0] for r in keep_one(docs.where("length(trim(text)) > 0")).collect())
+    assert alone == sorted(["1a", "Nonea", "2b", "2b", "3c", "3c", "Nonec", "Noned", "Noned", "Noned", "2e"])
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 11)) and set(SQL) <= set(QUERIES)
