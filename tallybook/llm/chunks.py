@@ -154,39 +154,44 @@ def _before_blanks(buffer: np.ndarray) -> np.ndarray:
     return starts
 
 
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[tuple[str, bool], object] = {}
 
 
-def tokenizer(path: str):
-    """The tokenizers library's object for a file, one per worker; special strings are plain text."""
-    if path not in _tokenizers:
+def tokenizer(path: str, plain: bool = False):
+    """The tokenizers library's object for a file, one per worker; with `plain`, special strings are plain text."""
+    if (path, plain) not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        _tokenizers[path] = found
-    return _tokenizers[path]
+        found.encode_special_tokens = plain
+        _tokenizers[path, plain] = found
+    return _tokenizers[path, plain]
 
 
-def _library_ids(path: str, pieces: list[str]) -> list[bytes]:
+def _library_ids(path: str, pieces: list[str], plain: bool = False) -> list[bytes]:
     # encode_batch_fast: the same ids without the offsets into the text.
-    encoded = tokenizer(path).encode_batch_fast(pieces, add_special_tokens=False)
+    encoded = tokenizer(path, plain).encode_batch_fast(pieces, add_special_tokens=False)
     return [array("I", e.ids).tobytes() for e in encoded]
 
 
-_tables: dict[str, PieceTable] = {}
+_tables: dict[tuple[str, bool], PieceTable] = {}
 
 
-def byte_bpe_ids(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of whole texts, as the tokenizers library encodes them without special tokens."""
-    if path not in _tables:
-        _tables[path] = PieceTable(lambda pieces: _library_ids(path, [p.decode() for p in pieces]))
+def byte_bpe_ids(path: str, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+    """Ids of whole texts, as the tokenizers library gives them with add_special_tokens=False.
+
+    Strings of special tokens in a text become those tokens, as the library has it, or with `plain`
+    are encoded like other text. They hold no white space, so no cut falls into one, and the
+    library finds them in the pieces as it does in texts.
+    """
+    if (path, plain) not in _tables:
+        _tables[path, plain] = PieceTable(lambda pieces: _library_ids(path, [p.decode() for p in pieces], plain))
     whole = [i for i, text in enumerate(texts) if _other_space(text)]
     raw = [t.encode() for t in texts]
     for i in whole:
         raw[i] = b""
-    found = _tables[path].texts(raw, _before_blanks)
-    for i, ids in zip(whole, _library_ids(path, [texts[i] for i in whole])):
+    found = _tables[path, plain].texts(raw, _before_blanks)
+    for i, ids in zip(whole, _library_ids(path, [texts[i] for i in whole], plain)):
         found[i] = np.frombuffer(ids, np.uint32)
     return found

@@ -12,8 +12,10 @@ columns are not read.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.chunks import byte_bpe_ids
@@ -78,13 +80,24 @@ def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
     )
 
 
+def _parts(share: Fraction) -> list[Column]:
+    kind = "decimal(18,0)"
+    return [F.lit(share.numerator).cast(kind).alias("part"), F.lit(share.denominator).cast(kind).alias("whole")]
+
+
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """(scope, source, share, n_tokens): the smallest length that at least that share of documents has at most."""
+    """(scope, source, share, n_tokens): the smallest length that at least that share of documents has at most.
+
+    A share is taken as the decimal it is written as (0.07 as 7 of 100), so that counts are compared exactly.
+    """
     total = F.col("documents_within") + F.col("documents_beyond")
-    asked = F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share")
+    exact = [Fraction(str(float(x))) for x in shares]
+    written = [F.struct(F.lit(float(x)).alias("share"), *_parts(e)) for x, e in zip(shares, exact)]
+    asked = F.explode(F.array(*written)).alias("asked")
     return (
         sums.select("*", asked)
-        .where(F.col("documents_within") >= F.col("share") * total)
+        .where(F.col("documents_within").cast("decimal(20,0)") * F.col("asked.whole") >= F.col("asked.part") * total.cast("decimal(20,0)"))
+        .select("scope", "source", "context_limit", "asked.share")
         .groupBy("scope", "source", "share")
         .agg(F.min("context_limit").alias("n_tokens"))
     )

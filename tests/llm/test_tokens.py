@@ -23,9 +23,10 @@ ROWS = [
 ]
 
 
-def library():
+def library(plain=False):
     found = Tokenizer.from_file(BPE)
-    found.encode_special_tokens = True
+    if plain:
+        found.encode_special_tokens = True
     return found
 
 
@@ -75,7 +76,14 @@ def test_piece_table_is_exact_when_it_forgets(monkeypatch):
 @given(st.lists(st.sampled_from([" ", "\n", "  ", "\n\n", "\t", "\r\n", "\x1c", " ", "　", "'s", "a", "B", "12", "!", "é", "日", "\x85", "<|endoftext|>", "\0", "word"]), max_size=12))
 def test_pieces_give_the_library_ids(parts):
     text = "".join(parts)
-    assert chunks.byte_bpe_ids(BPE, [text])[0].tolist() == library().encode(text, add_special_tokens=False).ids
+    for plain in (False, True):
+        found = chunks.byte_bpe_ids(BPE, [text], plain)[0].tolist()
+        assert found == library(plain).encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_are_their_tokens():
+    assert chunks.byte_bpe_ids(BPE, ["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+    assert 50256 not in chunks.byte_bpe_ids(BPE, ["a <|endoftext|> b"], plain=True)[0].tolist()
 
 
 def test_token_counts(spark):
@@ -95,6 +103,10 @@ def test_token_counts(spark):
     ordered = sorted(sizes)
     found = {r["share"]: r["n_tokens"] for r in token_counts.quantiles(sums, [0.0, 0.5, 0.9, 1.0]).where("scope = 'all'").collect()}
     assert found == {s: ordered[max(0, -int(-len(ordered) * s // 1) - 1)] for s in (0.0, 0.5, 0.9, 1.0)}
+    hundred = spark.range(1, 101).selectExpr("null as source", "id as n_tokens")
+    shares = [0.07, 0.14, 0.28, 0.55, 0.56, 0.0001, 1.0]
+    asked = token_counts.quantiles(token_counts.suffix_sums(token_counts.histogram(hundred)), shares).where("scope = 'all'").collect()
+    assert {r["share"]: r["n_tokens"] for r in asked} == dict(zip(shares, [7, 14, 28, 55, 56, 1, 100]))
     assert {(r["scope"], r["source"]) for r in sums.collect()} == {("all", None), ("source", None), ("source", "1"), ("source", "2")}
     assert token_counts.op2_token_counts(docs.limit(0)).isEmpty()
 
