@@ -12,6 +12,7 @@ from tallybook.llm import (
     exact_dedup,
     jaccard_join,
     language_id,
+    lexical_search,
     quality,
     sentencepiece_bpe,
     simple8b,
@@ -42,6 +43,9 @@ QUERIES: dict[str, Query] = {
     ),
     "op9_jaccard_join": _docs(jaccard_join.op9_jaccard_join),
     "op10_suffix_dedup": _docs(suffix_dedup.op10_suffix_dedup),
+    "op11_lexical_search": lambda spark, sf_dir: lexical_search.op11_lexical_search(
+        table(limited(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ),
 }
 
 SQL: dict[str, str] = {
@@ -49,4 +53,5 @@ SQL: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_decontamination": decontamination.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op11_lexical_search": lexical_search.SQL,
 }
