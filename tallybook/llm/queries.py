@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm import (
+    alignment,
     chat,
     decontamination,
     exact_dedup,
     jaccard_join,
     language_id,
     lexical_search,
+    nearest,
     quality,
     sentencepiece_bpe,
     simple8b,
@@ -46,6 +48,8 @@ QUERIES: dict[str, Query] = {
     "op11_lexical_search": lambda spark, sf_dir: lexical_search.op11_lexical_search(
         table(limited(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ),
+    "op12_nearest": lambda spark, sf_dir: nearest.op12_nearest(table(limited(spark), sf_dir, "embeddings")),
+    "op13_alignment": _docs(alignment.op13_alignment),
 }
 
 SQL: dict[str, str] = {

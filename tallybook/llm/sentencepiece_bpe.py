@@ -183,6 +183,10 @@ class Encoder:
         raw = [b" " + t.replace(BLANK, " ").encode() if t else b"" for t in texts]
         return [np.concatenate([begin, ids, end]) for ids in self.cache.texts(raw, _before_words)]
 
+    def surfaces(self, ids: np.ndarray) -> bytes:
+        """Bytes of the ids' pieces, one after the other."""
+        return ragged(self.table, self.offsets[ids], self.sizes[ids]).tobytes()
+
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """Texts of ids; bytes that are no UTF-8 become replacement characters."""
         ids = np.concatenate(rows) if rows else np.empty(0, "<u4")
@@ -218,7 +222,7 @@ def _before_words(buffer: np.ndarray) -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(vocabulary) -> Encoder:
+def encoder_of(vocabulary) -> Encoder:
     path = vocabulary.value.path
     if path not in _encoders:
         _encoders[path] = Encoder(vocabulary.value)
@@ -240,7 +244,7 @@ def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch, texts in slices(batches):
-            ids = [i.tobytes() for i in _encoder(shared).encode(texts)]
+            ids = [i.tobytes() for i in encoder_of(shared).encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, ids binary")
@@ -257,7 +261,7 @@ def decode_ids(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 ids = [np.frombuffer(b or b"", "<u4") for b in part.column(1).to_pylist()]
-                texts = _encoder(shared).decode(ids)
+                texts = encoder_of(shared).decode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
                 )
@@ -275,8 +279,8 @@ def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch, texts in slices(batches):
-            ids = _encoder(shared).encode(texts)
-            back = _encoder(shared).decode(ids)
+            ids = encoder_of(shared).encode(texts)
+            back = encoder_of(shared).decode(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
