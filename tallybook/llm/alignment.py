@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.chunks import byte_bpe_ids, ragged, tokenizer
@@ -108,31 +108,31 @@ class Aligned:
         self.documents = len(a)
         self.counts = [np.array([len(i) for i in side], np.int64) for side in (a, b)]
         self.ids = [np.concatenate(side).astype(np.int64) if side else np.empty(0, np.int64) for side in (a, b)]
-        tables = []
-        self.ends = []
+        tables, ends = [], []
         for ids, counts, sizes in zip(self.ids, self.counts, (sizes_a, sizes_b)):
-            ends = np.cumsum(sizes[ids])
-            self.ends.append(ends)
+            ends.append(np.cumsum(sizes[ids]))
             doc = np.repeat(np.arange(self.documents), counts)
-            tables.append(pd.DataFrame({"doc": doc, "start": ends - sizes[ids], "at": np.arange(len(ids))}))
+            tables.append(pd.DataFrame({"doc": doc, "start": ends[-1] - sizes[ids], "at": np.arange(len(ids))}))
         self.link_a, self.link_b = overlaps(*tables)
-        self.link_doc = tables[0]["doc"].to_numpy()[self.link_a] if self.documents else np.empty(0, np.int64)
         self.doc_of_a = tables[0]["doc"].to_numpy()
-        self.cuts = np.intersect1d(*self.ends, assume_unique=True)
+        self.link_doc = self.doc_of_a[self.link_a]
+        # Whether a token ends where one of the other side does: it closes its group.
+        self.closes = []
+        for own, other in (ends, ends[::-1]):
+            met = np.zeros(int(other[-1]) + 1 if len(other) else 1, bool)
+            met[other] = True
+            self.closes.append(met[own])
 
     def n_links(self) -> np.ndarray:
         return np.bincount(self.link_doc, minlength=self.documents)
 
     def n_groups(self) -> np.ndarray:
-        closing = self.doc_of_a[np.searchsorted(self.ends[0], self.cuts)]
-        return np.bincount(closing, minlength=self.documents)
+        return np.bincount(self.doc_of_a[self.closes[0]], minlength=self.documents)
 
     def groups(self, separated: Separated) -> list[bytes]:
         """`a1,a2|b1;a3|b2,b3` of each document."""
-        group_a, group_b = (np.searchsorted(self.cuts, ends) for ends in self.ends)
-        many = len(self.cuts)
-        upto_a = np.cumsum(np.bincount(group_a, minlength=many))  # tokens of A in the groups up to this one
-        upto_b = np.cumsum(np.bincount(group_b, minlength=many))
+        group_a, group_b = (np.cumsum(c) - c for c in self.closes)
+        upto_a, upto_b = (np.flatnonzero(c) + 1 for c in self.closes)  # a side's tokens in the groups up to this one
         # A token stands behind its own side's earlier ones and the other side's of earlier (or, in B, these) groups.
         place_a = np.arange(len(group_a)) + np.concatenate([[0], upto_b])[group_a]
         place_b = np.arange(len(group_b)) + upto_a[group_b]
@@ -148,12 +148,12 @@ class Aligned:
     def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct id pairs as a * width + b, how many links hold each, documents' ends), document by document."""
         a, b = self.ids
-        key = a[self.link_a] * width + b[self.link_b]
-        order = np.lexsort((key, self.link_doc))
-        key, doc = key[order], self.link_doc[order]
-        first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        times = np.diff(np.append(first, len(key)))
-        return key[first], times, np.cumsum(np.bincount(doc[first], minlength=self.documents))
+        most = (int(a.max()) + 1) * width if len(a) else 1
+        key = self.link_doc * most + a[self.link_a] * width + b[self.link_b]
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        doc, pair = np.divmod(key[first], most)
+        return pair, np.diff(np.append(first, len(key))), np.cumsum(np.bincount(doc, minlength=self.documents))
 
 
 class Totals:
