@@ -27,9 +27,13 @@ BY_SOURCE, BY_CONTENT, CONFLICT = "source_transaction_id", "normalized_fingerpri
 _NO_SOURCE = "\x00"
 
 
+def source_key() -> Column:
+    """Bank and bank-given id; null without such an id."""
+    return F.concat(F.col("bank_key"), F.lit("\x1f"), F.col("source_id_key"))
+
+
 def _source_key() -> Column:
-    known = F.concat(F.col("bank_key"), F.lit("\x1f"), F.col("source_id_key"))
-    return F.coalesce(known, F.concat(F.lit(_NO_SOURCE), F.col("fingerprint")))
+    return F.coalesce(source_key(), F.concat(F.lit(_NO_SOURCE), F.col("fingerprint")))
 
 
 def _keys(transactions: DataFrame, order: Sequence[str]) -> DataFrame:

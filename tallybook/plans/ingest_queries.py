@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from tallybook.functions import dates, hashing, money, text
 from tallybook.functions.cells import Cell, row_cells, tagged_cells
 from tallybook.config.settings import ColumnMapping, IngestionConfig
-from tallybook.operators import checks, duplicates, ledger
+from tallybook.operators import checks, duplicates, ledger, match_index
 from tallybook.operators.normalize import normalize_fields, normalize_records
 from tallybook.plans import fixtures, stages, views
 from tallybook.plans.registry import query
 from tallybook.plans.sql import with_blocks
 from tallybook.session import shared_dir
-from tallybook.sources import files, scan, tables
+from tallybook.sources import commits, files, scan, tables
 from tallybook.streaming import landing
 
 # --- E-A: files -------------------------------------------------------------------------------
@@ -180,7 +180,15 @@ def keyed_append(spark, sf_dir):
     stored = new.where("row_no % 2 = 0").withColumn(
         "amount", F.when(F.col("row_no") % 6 == 0, F.col("amount") + 1).otherwise(F.col("amount"))
     ).withColumn("amount", F.coalesce("amount", F.when(F.col("row_no") % 6 == 0, F.lit(1))).cast(money.MONEY))
-    return tables.judge_append(new, stored, "id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    # The stored rows are appended first, then all rows against them.
+    target = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    for rows in (stored, new):
+        commit = commits.Commit(spark, target)
+        judged = tables.append_new(rows, commit, "rows", "id")
+        commit.publish()
+    return tables.append_counts(judged).select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in tables.OUTCOMES])).alias("r")
+    ).select("r.*")
 
 
 @query(
@@ -439,7 +447,9 @@ def incremental_resolution(spark, sf_dir):
 def existing_matches(spark, sf_dir):
     new = stages.normalized_table(spark, sf_dir).where("upload_seq = 4")
     stored = stages.transactions(spark, sf_dir).where("upload_seq < 4")
-    return duplicates.existing_matches(new, stored).select("id")
+    commit = commits.Commit(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    match_index.append(commit, stored)
+    return match_index.matches(new, commit.publish()).select("id")
 
 
 @query("e_c1_canonical", with_blocks("resolved") + "SELECT id, cast(amount AS varchar) AS amount, direction FROM canonical")
@@ -529,7 +539,7 @@ def streaming_ingest(spark, sf_dir):
     seen = []
     for checkpoint in ("first", "second"):
         landing.start(spark, f"{base}/in", f"{base}/out", f"{base}/{checkpoint}", stages.CONFIG).awaitTermination()
-        seen.append(spark.read.parquet(f"{base}/out/transactions"))
+        seen.append(commits.latest(spark, f"{base}/out").read("transactions"))
     first, second = (t.count() for t in seen)
     codes = F.transform("validation_issues", lambda i: i["code"])
     own = F.filter(codes, lambda c: ~c.startswith("duplicate_") & (c != "source_transaction_id_conflict"))
