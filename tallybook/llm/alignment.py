@@ -221,7 +221,7 @@ def align(docs: DataFrame, tokenizer_path: str, model_path: str) -> tuple[DataFr
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        encoder, surfaces = encoder_of(shared), byte_surfaces(tokenizer_path)
+        encoder, surfaces = encoder_of(model_path, shared), byte_surfaces(tokenizer_path)
         separated = Separated(max(width, len(surfaces.sizes)))
         totals, number = Totals(), TaskContext.get().partitionId() << 33
         for batch, texts in slices(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,15 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(0))
 
 
+def release() -> None:
+    """Workers live on between tasks: what Arrow and malloc keep for reuse goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library: it has no such call
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches of (doc_id, text, ...) cut so that a slice holds about SLICE_CHARS characters."""
     for batch in batches:
@@ -51,8 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             part = batch.slice(begin, end - begin)
             yield part, column.slice(begin, end - begin).to_pylist()
             begin = end
-    # Workers live on between tasks: what Arrow keeps for reuse goes back now.
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 # An IdFilter has this many bits: 2 MB on every executor, whatever the number of ids.

@@ -8,15 +8,20 @@ points, bounded by the boxes' upper corners.
 
 Which points can meet at all is settled by equi-joins: under one order of all shingles (frequent
 ones last; the order is for speed, any order is exact) two linked sets share one of their first
-n - ceil(t * n) + 1 shingles. Sets that share such a shingle are a block. Blocks with the same
-members are one; a block of more than LEAF points is cut by size into leaves, and leaves, or pairs of
-them, are what a task takes. Inside, boxes of FANOUT points are compared before their points.
-
-What survives is verified on the exact sets. Only connectivity is asked for, so a round proposes
-for each block a few pairs between parts not yet connected (one in the first round, 64 times as many
-in each later one), verified pairs join components, refuted ones are not asked again, and rounds go
-on with the blocks that had more to offer until no surviving pair lies between two components: every
-pair is then linked, refuted, or within one component, and no group of copies becomes its pairs.
+n - ceil(t * n) + 1 shingles. Sets that share such a shingle are a block, without those that no other
+set of the block can be similar to by size and by what stands behind the shingle in both orders.
+Blocks with the same members are one; a block of more than LEAF points is cut by size into leaves,
+and leaves, or pairs of them, are what a task takes. Inside, boxes of FANOUT points are compared
+before their points.
+
+What survives is verified on the exact sets. Only connectivity is asked for, so parts not yet
+connected are joined round by round. The first round takes one block of each set, the largest, so a
+point is sent once and at most one pair a set is verified; of large blocks it takes leaves and
+neighbouring leaves alone. Later rounds take every block, and every pair of leaves, that still holds
+two components, and propose a few pairs between them (one, then 64 times as many in each later round).
+Verified pairs join components, refuted ones are not asked again, and rounds go on until no surviving
+pair lies between two components: every pair is then linked, refuted, or within one component, and no
+group of copies becomes its pairs.
 
 Defined cases: null or word-less texts have the empty set, linked with nothing; texts of one to four
 words have one shingle, their sequence; equal sets are linked whatever their size; rows that share
@@ -27,15 +32,15 @@ empty tables give none; other columns are not read. 64-bit hashes stand for shin
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallybook.llm.common import id_filter, passing, slices, texts_of
+from tallybook.llm.common import id_filter, passing, release, slices, texts_of
 from tallybook.llm.components import components
 from tallybook.llm.shingles import shingle_sets
 from tallybook.session import store
@@ -103,6 +108,10 @@ class _Frequent:
         self.keys, self.counts, self.pending, self.size = keys[counts > 0], counts[counts > 0], [], 0
 
 
+LARGE = (1 << 16) - 1  # sizes from here on are not told apart, and pass
+# 32 bits of the shingle's hash, the set, its size, and how many of its shingles stand from this one on.
+SIGNATURE = [("sig", "<u4"), ("node", "<i8"), ("n", "<u2"), ("rest", "<u2")]
+
 SCANNED = "doc_id long, n int, node long, point binary, item long, low long"
 
 
@@ -138,7 +147,7 @@ def _scan(rows: DataFrame) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, frequent, buckets: int) -> DataFrame:
-    """(bucket, packed): prefix shingles as (32 bits of the hash, node), 12 bytes each."""
+    """(bucket, packed): prefix shingles as SIGNATURE, 16 bytes each."""
 
     def run(batches):
         keys, counts = frequent.value
@@ -146,11 +155,16 @@ def _signatures(rows: DataFrame, frequent, buckets: int) -> DataFrame:
 
         def pack():
             shingles = np.concatenate([h[0] for h in held])
-            nodes = np.concatenate([h[1] for h in held])
+            sizes = np.array([len(h[0]) for h in held])
+            whole = np.array([h[2] for h in held])
+            place = np.arange(len(shingles)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             bucket = (shingles % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            packed = np.empty(len(order), [("sig", "<u4"), ("node", "<i8")])
-            packed["sig"], packed["node"] = (shingles >> np.uint64(32))[order], nodes[order]
+            packed = np.empty(len(order), SIGNATURE)
+            packed["sig"] = (shingles >> np.uint64(32))[order]
+            packed["node"] = np.repeat([h[1] for h in held], sizes)[order]
+            packed["n"] = np.minimum(np.repeat(whole, sizes), LARGE)[order]
+            packed["rest"] = np.minimum(np.repeat(whole, sizes) - place, LARGE)[order]
             used, begin = np.unique(bucket[order], return_index=True)
             parts = [p.tobytes() for p in np.split(packed, begin[1:])]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "packed"])
@@ -167,7 +181,7 @@ def _signatures(rows: DataFrame, frequent, buckets: int) -> DataFrame:
                     last = found[often][np.argsort(counts[at[often]], kind="stable")]
                     found = np.concatenate([found[~often], last])
                 prefix = found[: _prefix(len(found))]
-                held.append((prefix, np.full(len(prefix), node, np.int64)))
+                held.append((prefix, node, len(found)))
                 size += len(prefix)
             if size > 300_000:
                 yield pack()
@@ -178,19 +192,57 @@ def _signatures(rows: DataFrame, frequent, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, packed binary")
 
 
+def _may_link(n, rest, m, other_rest):
+    """Whether sizes n and m, and what stands from a shared shingle on, allow a link.
+
+    If the shingle is the first that both sets have, their overlap is at most the smaller rest; where
+    it is not, the pair meets in the block of that first one.
+    """
+    top, whole = SIMILAR
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    least = np.minimum(rest, other_rest).astype(np.int64)
+    near = (top * np.maximum(n, m) <= whole * np.minimum(n, m)) & ((top + whole) * least >= top * (n + m))
+    return near | (np.maximum(n, m) >= LARGE)
+
+
+def _with_partner(block: np.ndarray) -> np.ndarray:
+    """Rows of a block (one shingle's signatures) that may link with another of its rows."""
+    if len(block) <= 64:
+        fits = _may_link(block["n"][:, None], block["rest"][:, None], block["n"], block["rest"])
+        np.fill_diagonal(fits, False)
+        return block[fits.any(1)]
+    # In order of size it is enough to look at the neighbours' sizes.
+    block = block[np.argsort(block["n"], kind="stable")]
+    n = block["n"].astype(np.int64)
+    close = (SIMILAR[0] * n[1:] <= SIMILAR[1] * n[:-1]) | (n[1:] >= LARGE)
+    return block[np.append(close, False) | np.insert(close, 0, False)]
+
+
 def _blocks(signatures: DataFrame) -> DataFrame:
-    """(block, members): nodes that share a prefix shingle; blocks of equal members once."""
+    """(block, members): nodes that share a prefix shingle and may link; blocks of equal members once."""
 
     def run(table: pa.Table) -> pa.Table:
-        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), [("sig", "<u4"), ("node", "<i8")])
-        packed = np.unique(packed)
+        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), SIGNATURE)
+        packed = packed[np.lexsort((packed["node"], packed["sig"]))]
+        again = (packed["sig"][1:] == packed["sig"][:-1]) & (packed["node"][1:] == packed["node"][:-1])
+        packed = packed[np.insert(~again, 0, True)] if len(packed) else packed  # a set's rows from several tasks
         starts = np.flatnonzero(np.diff(packed["sig"].astype(np.int64), prepend=-1))
         sizes = np.diff(np.append(starts, len(packed)))
-        seen: dict[int, bytes] = {}
-        for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            members = packed["node"][at : at + size].tobytes()
-            seen.setdefault(int.from_bytes(hashlib.blake2b(members, digest_size=8).digest(), "little", signed=True), members)
-        return pa.table({"block": pa.array(seen.keys(), pa.int64()), "members": pa.array(seen.values(), pa.binary())})
+        # Most blocks are of two sets: those are tested together.
+        two = starts[sizes == 2]
+        one, other = packed[two], packed[two + 1]
+        two = two[_may_link(one["n"], one["rest"], other["n"], other["rest"])]
+        found = np.stack([packed["node"][two], packed["node"][two + 1]], axis=1) if len(two) else np.empty((0, 2), np.int64)
+        # Nodes are in ascending order, so equal members have equal bytes.
+        members = [m.tobytes() for m in np.unique(found, axis=0)]
+        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            block = _with_partner(packed[at : at + size])
+            if len(block) > 1:
+                members.append(np.sort(block["node"]).tobytes())
+        members = list(dict.fromkeys(members))
+        ids = [int.from_bytes(hashlib.blake2b(m, digest_size=8).digest(), "little", signed=True) for m in members]
+        release()
+        return pa.table({"block": pa.array(ids, pa.int64()), "members": pa.array(members, pa.binary())})
 
     grouped = signatures.groupBy("bucket").applyInArrow(run, "block long, members binary")
     return grouped.dropDuplicates(["block"])
@@ -320,11 +372,12 @@ class Proposals:
                 self.offer(int(nodes[i]), int(nodes[j]), int(parts[i]), int(parts[j]))
 
 
-def _leaves(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _leaves(rows: DataFrame, sizes: DataFrame, first: bool) -> DataFrame:
     """(job, side, node, part) for blocks of more than LEAF nodes: their leaves, and the pairs of leaves that may link.
 
     Leaves are runs of equal size rank; two whose sizes can not link, or that lie in one component
-    together, form no job.
+    together, form no job. In the first round only neighbouring leaves do: they join what is alike,
+    so that few pairs of leaves are left with two components.
     """
     place = F.row_number().over(Window.partitionBy("block").orderBy("n", "node")) - 1
     placed = rows.join(sizes, "node").withColumn("leaf", (place / LEAF).cast("int"))
@@ -336,7 +389,7 @@ def _leaves(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     top, whole = SIMILAR
     jobs = (
         one.join(other, "block")
-        .where("i <= j")
+        .where("j = i or j = i + 1" if first else "i <= j")
         .where(F.col("high") * whole >= F.col("low") * top)
         .where(~((F.col("p") == F.col("q")) & (F.col("p2") == F.col("q2")) & (F.col("p") == F.col("p2"))))
     )
@@ -349,22 +402,38 @@ def _leaves(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.join(sides, ["block", "leaf"]).select("job", "side", "node", "part")
 
 
-def _jobs(members: DataFrame, points: DataFrame, homes: int, cut: bool) -> DataFrame:
-    """(home, job, side, node, part): blocks, or leaves and pairs of leaves of large ones, every node its own part.
+def _jobs(members: DataFrame, points: DataFrame, homes: int, cut: bool, first: bool) -> DataFrame:
+    """(home, job, side, node, part): blocks, or leaves and pairs of leaves of large ones, for (block, node, head, size, part).
 
     A home takes the blocks of one smallest node, so a group's blocks share the points sent there.
     """
-    rows = members.withColumn("part", F.col("node"))
-    jobs = rows.where(F.col("size") <= LEAF).select(
+    jobs = members.where(F.col("size") <= LEAF).select(
         F.pmod(F.xxhash64("head"), F.lit(homes)).alias("home"), F.col("block").alias("job"), F.lit(2).alias("side"), "node", "part"
     )
     if cut:
-        large = _leaves(rows.where(F.col("size") > LEAF), points.select("node", "n"))
+        large = _leaves(members.where(F.col("size") > LEAF), points.select("node", "n"), first)
         large = large.select(F.pmod(F.xxhash64("job"), F.lit(homes)).alias("home"), "job", "side", "node", "part")
         jobs = jobs.unionByName(large)
     return jobs
 
 
+def _first_members(memberships: DataFrame) -> DataFrame:
+    """Each node with one block, its largest, where another node has the same; every node its own part."""
+    own = memberships.groupBy("node").agg(F.max(F.struct("size", "block")).alias("own")).select("node", "own.block")
+    taken = memberships.join(own, ["node", "block"]).withColumn("part", F.col("node"))
+    shared = own.groupBy("block").count().where("count > 1").select("block")
+    return taken.join(shared, "block", "left_semi")
+
+
+def _unsettled(memberships: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Blocks that hold two components or more, with each node's component."""
+    rows = memberships.withColumn("part", F.col("node"))
+    if roots is not None:
+        rows = memberships.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    still = rows.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
+    return rows.join(still.select("block"), "block", "left_semi")
+
+
 def _left_over(jobs: DataFrame, flagged: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Jobs that had more candidates than were taken and still hold more than one component."""
     rows = jobs.join(flagged, "job", "left_semi")
@@ -388,19 +457,24 @@ def _propose(jobs: DataFrame, points: DataFrame, refuted: DataFrame | None, most
     sent = sent.select(F.col("home").alias("to"), F.col("node").alias("of"), "n", "point")
 
     def run(jobs: pa.Table, sent: pa.Table) -> pa.Table:
-        known = {r["of"]: (r["n"], _parse(r["point"], r["n"])) for r in sent.to_pylist()}
-        rows = jobs.sort_by("job").to_pylist()
-        ruled_out = {(r["node"], b) for r in rows for b in (r["against"] or ())}
+        sizes = sent.column("n").to_numpy().tolist()
+        of, raw = sent.column("of").to_numpy().tolist(), sent.column("point").to_pylist()
+        known = {node: (n, _parse(point, n)) for node, n, point in zip(of, sizes, raw)}
+        jobs = jobs.sort_by([("job", "ascending"), ("node", "ascending")])
+        job, side, node, part = (jobs.column(c).to_numpy() for c in ("job", "side", "node", "part"))
+        with_some = jobs.select(["node", "against"]).filter(pc.is_valid(jobs.column("against")))
+        ruled_out = {(x, y) for x, others in zip(*(c.to_pylist() for c in with_some.columns)) for y in others}
         work = Proposals(known, ruled_out, most)
         flagged = []
-        for job, group in groupby(rows, key=lambda r: r["job"]):
-            own = {r["node"]: r for r in group}
-            work.block(list(own), [r["part"] for r in own.values()], [r["side"] for r in own.values()])
+        begins = np.flatnonzero(np.diff(job, prepend=job[0] - 1)) if len(job) else []
+        for begin, end in zip(begins, np.append(begins[1:], len(job))):
+            work.block(node[begin:end].tolist(), part[begin:end].tolist(), side[begin:end].tolist())
             if work.more:
-                flagged.append(job)
-        home = rows[0]["home"] if rows else 0
+                flagged.append(job[begin])
+        home = jobs.column("home")[0].as_py() if len(job) else 0
         found = [(home, a, b, None) for a, b in work.found] + [(home, None, None, job) for job in flagged]
         columns = list(zip(*found)) or [[]] * 4
+        release()
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("home", "a", "b", "job"), columns)})
 
     both = jobs.groupBy("home").cogroup(sent.groupBy("to"))
@@ -464,6 +538,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
         # Links of one home as stars: the same components, in shorter chains.
         found += [(root(x), x, True) for x in parent if root(x) != x]
         columns = list(zip(*found)) or [[]] * 3
+        release()
         types = (pa.int64(), pa.int64(), pa.bool_())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("a", "b", "linked"), columns, types)})
 
@@ -499,10 +574,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     shape = memberships.agg(F.count("*").alias("rows"), F.max("size").alias("largest")).first()
     homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shape["rows"] // HOME_NODES)
     cut = (shape["largest"] or 0) > LEAF  # without a block of several leaves there is no pair of leaves
-    jobs = store(_jobs(memberships, points, homes, cut), "jobs")
     links = roots = refuted = None
-    most = 1
-    while True:
+
+    def verified(jobs: DataFrame, most: int) -> DataFrame:
+        """Proposals of a round; what they link and refute is added to what is known."""
+        nonlocal links, roots, refuted
         proposed = store(_propose(jobs, points, refuted, most), "proposed")
         pairs = proposed.where("a is not null").select("home", "a", "b")
         if not pairs.isEmpty():
@@ -512,12 +588,15 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
             fails = verdicts.where(~F.col("linked")).select("a", "b")
             refuted = fails if refuted is None else refuted.unionByName(fails)
             roots = store(components(links), "roots")
-        flagged = proposed.where("job is not null").select("job")
+        return proposed
+
+    verified(store(_jobs(_first_members(memberships), points, homes, cut, True), "jobs"), 1)
+    jobs, most = store(_jobs(_unsettled(memberships, roots), points, homes, cut, False), "jobs"), 1
+    while not jobs.isEmpty():
+        flagged = verified(jobs, most).where("job is not null").select("job")
         if flagged.isEmpty():
             break
         jobs = store(_left_over(jobs, flagged, roots), "jobs")
-        if jobs.isEmpty():
-            break
         most *= 64
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")

@@ -88,30 +88,33 @@ class Vocabulary:
         for i, p in enumerate(model.pieces):
             if p.type == kinds.UNKNOWN:
                 self.surface[i] = " ⁇ ".encode()
-        # Only pieces that encode to themselves can occur; the last merge of each gives its history.
-        self.ids, split = {}, {}
+        # Only pieces that encode to themselves can occur; where the last merge of each joined it gives its history.
+        self.ids, self.cut = {}, {}
         for piece, i in normal.items():
             symbols, last = merged(piece, self.rank)
             if len(symbols) == 1:
-                self.ids[piece], split[piece] = i, last
-        self.right_edge = {i: self._edge(p, split, 1) for p, i in self.ids.items()}
-        self.left_edge = {i: self._edge(p, split, 0) for p, i in self.ids.items()}
+                self.ids[piece], self.cut[piece] = i, len(last[0]) if last else 0
         self.text = {i: p for p, i in self.ids.items()}
 
-    def _edge(self, piece: str, split: dict, side: int) -> list[tuple[str, float]]:
-        """Symbols at one edge from the single character up, each with the rank that absorbs it."""
+    def _edge(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """Symbols at one edge from the single character up, each with the rank that absorbs it.
+
+        Formed when asked for: answers on pairs are kept, and the edges of all pieces would take far
+        more memory than all else here.
+        """
         found, absorbed = [], NEVER
         while True:
             found.append((piece, absorbed))
-            if split[piece] is None:
+            cut = self.cut[piece]
+            if not cut:
                 return found[::-1]
-            absorbed, piece = self.rank[piece], split[piece][side]
+            absorbed, piece = self.rank[piece], piece[cut:] if side else piece[:cut]
 
     def compatible(self, left: int, right: int) -> bool:
         a, b = self.text[left], self.text[right]
         if BLANK * 2 in a or BLANK * 2 in b or (b[0] == BLANK and a[-1] == BLANK):
             return merged(a + b, self.rank)[0] == [a, b]
-        ones, others = self.right_edge[left], self.left_edge[right]
+        ones, others = self._edge(a, 1), self._edge(b, 0)
         i = j = 0
         while True:
             x, end_x = ones[i]
@@ -222,8 +225,8 @@ def _before_words(buffer: np.ndarray) -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder_of(vocabulary) -> Encoder:
-    path = vocabulary.value.path
+def encoder_of(path: str, vocabulary) -> Encoder:
+    """The worker's encoder for a model file; the broadcast vocabulary is read only where there is none yet."""
     if path not in _encoders:
         _encoders[path] = Encoder(vocabulary.value)
     return _encoders[path]
@@ -239,12 +242,12 @@ def _default(path: str | None) -> str:
 
 def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """(doc_id, ids): ids of each whole text as little-endian unsigned 32-bit, with begin and end ids."""
-    rows = texts_of(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(_default(model_path)))
+    rows, path = texts_of(docs), _default(model_path)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches):
         for batch, texts in slices(batches):
-            ids = [i.tobytes() for i in encoder_of(shared).encode(texts)]
+            ids = [i.tobytes() for i in encoder_of(path, shared).encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, ids binary")
@@ -253,15 +256,15 @@ def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 def decode_ids(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """(doc_id, ids, text): the text that the ids stand for."""
     limited(encoded.sparkSession)
-    rows = encoded.select("doc_id", "ids")
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(_default(model_path)))
+    rows, path = encoded.select("doc_id", "ids"), _default(model_path)
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 ids = [np.frombuffer(b or b"", "<u4") for b in part.column(1).to_pylist()]
-                texts = encoder_of(shared).decode(ids)
+                texts = encoder_of(path, shared).decode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
                 )
@@ -274,13 +277,13 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """Digests of each text's ids and of the text decoded from them, in one pass and one worker per task."""
-    rows = texts_of(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(_default(model_path)))
+    rows, path = texts_of(docs), _default(model_path)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches):
         for batch, texts in slices(batches):
-            ids = encoder_of(shared).encode(texts)
-            back = encoder_of(shared).decode(ids)
+            ids = encoder_of(path, shared).encode(texts)
+            back = encoder_of(path, shared).decode(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
