@@ -184,7 +184,7 @@ def keyed_append(spark, sf_dir):
     target = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
     for rows in (stored, new):
         commit = commits.Commit(spark, target)
-        judged = tables.append_new(rows, commit, "rows", "id")
+        judged = tables.append_new(rows, commit, "rows", "id", buckets=16)
         commit.publish()
     return tables.append_counts(judged).select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in tables.OUTCOMES])).alias("r")
