@@ -18,10 +18,10 @@ What survives is verified on the exact sets. Only connectivity is asked for, so
 connected are joined round by round. The first round takes one block of each set, the largest, so a
 point is sent once and at most one pair a set is verified; of large blocks it takes leaves and
 neighbouring leaves alone. Later rounds take every block, and every pair of leaves, that still holds
-two components, and propose a few pairs between them (one, then 64 times as many in each later round).
+two components, and propose a few pairs between them (one, then AGAIN times as many in each later round).
 Verified pairs join components, refuted ones are not asked again, and rounds go on until no surviving
 pair lies between two components: every pair is then linked, refuted, or within one component, and no
-group of copies becomes its pairs.
+group of copies becomes its pairs. A block that another covers is left out from the start.
 
 Defined cases: null or word-less texts have the empty set, linked with nothing; texts of one to four
 words have one shingle, their sequence; equal sets are linked whatever their size; rows that share
@@ -51,6 +51,7 @@ LEAF = 1024
 FANOUT = 16
 BUCKET_SIGNATURES = 1 << 21
 HOME_NODES = 3_000
+AGAIN = 1 << 12  # a round sends points again, so few rounds with more pairs each
 
 
 def _node(found: np.ndarray) -> int:
@@ -417,11 +418,21 @@ def _jobs(members: DataFrame, points: DataFrame, homes: int, cut: bool, first: b
     return jobs
 
 
-def _first_members(memberships: DataFrame) -> DataFrame:
-    """Each node with one block, its largest, where another node has the same; every node its own part."""
+def _uncovered(memberships: DataFrame) -> DataFrame:
+    """Memberships with `own`, the largest block of each node, without blocks that one other block covers.
+
+    Where all members of a block have the same largest block, each of its pairs meets there.
+    """
     own = memberships.groupBy("node").agg(F.max(F.struct("size", "block")).alias("own")).select("node", "own.block")
-    taken = memberships.join(own, ["node", "block"]).withColumn("part", F.col("node"))
-    shared = own.groupBy("block").count().where("count > 1").select("block")
+    rows = memberships.join(own.withColumnRenamed("block", "own"), "node")
+    spans = rows.groupBy("block").agg(F.min("own").alias("p"), F.max("own").alias("q"))
+    return rows.join(spans.where("p != q or p = block").select("block"), "block", "left_semi")
+
+
+def _first_members(memberships: DataFrame) -> DataFrame:
+    """Each node in its own block alone, where another node has the same; every node its own part."""
+    taken = memberships.where("block = own").withColumn("part", F.col("node"))
+    shared = taken.groupBy("block").count().where("count > 1").select("block")
     return taken.join(shared, "block", "left_semi")
 
 
@@ -444,7 +455,8 @@ def _left_over(jobs: DataFrame, flagged: DataFrame, roots: DataFrame | None) ->
 
 
 def _propose(jobs: DataFrame, points: DataFrame, refuted: DataFrame | None, most: int) -> DataFrame:
-    """(home, a, b, job): pairs to verify, and (with a and b null) the jobs that have more of them.
+    """(home, a, b, holder_a, holder_b, job): pairs to verify, each set with a document that holds it, and
+    (with the others null) the jobs that have more of them.
 
     `jobs` must be a stored table.
     """
@@ -454,12 +466,13 @@ def _propose(jobs: DataFrame, points: DataFrame, refuted: DataFrame | None, most
         against = refuted.groupBy("a").agg(F.collect_set("b").alias("against")).withColumnRenamed("a", "node")
         jobs = jobs.join(against, "node", "left")
     sent = jobs.select("home", "node").distinct().join(points, "node")
-    sent = sent.select(F.col("home").alias("to"), F.col("node").alias("of"), "n", "point")
+    sent = sent.select(F.col("home").alias("to"), F.col("node").alias("of"), "n", "point", "holder")
 
     def run(jobs: pa.Table, sent: pa.Table) -> pa.Table:
         sizes = sent.column("n").to_numpy().tolist()
         of, raw = sent.column("of").to_numpy().tolist(), sent.column("point").to_pylist()
         known = {node: (n, _parse(point, n)) for node, n, point in zip(of, sizes, raw)}
+        holder = dict(zip(of, sent.column("holder").to_pylist()))
         jobs = jobs.sort_by([("job", "ascending"), ("node", "ascending")])
         job, side, node, part = (jobs.column(c).to_numpy() for c in ("job", "side", "node", "part"))
         with_some = jobs.select(["node", "against"]).filter(pc.is_valid(jobs.column("against")))
@@ -472,13 +485,14 @@ def _propose(jobs: DataFrame, points: DataFrame, refuted: DataFrame | None, most
             if work.more:
                 flagged.append(job[begin])
         home = jobs.column("home")[0].as_py() if len(job) else 0
-        found = [(home, a, b, None) for a, b in work.found] + [(home, None, None, job) for job in flagged]
-        columns = list(zip(*found)) or [[]] * 4
+        found = [(home, a, b, holder[a], holder[b], None) for a, b in work.found]
+        found += [(home, None, None, None, None, job) for job in flagged]
+        columns = list(zip(*found)) or [[]] * 6
         release()
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("home", "a", "b", "job"), columns)})
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("home", "a", "b", "holder_a", "holder_b", "job"), columns)})
 
     both = jobs.groupBy("home").cogroup(sent.groupBy("to"))
-    return both.applyInArrow(run, "home long, a long, b long, job long")
+    return both.applyInArrow(run, "home long, a long, b long, holder_a long, holder_b long, job long")
 
 
 def _with_node(docs: DataFrame, text_col: str) -> DataFrame:
@@ -497,13 +511,13 @@ def _with_node(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, linked) on the exact sets, cut again from the texts of one document for each node asked for.
 
     Refuted pairs come back as they are, linked ones as links of the components they make.
     """
-    asked = pairs.select("home", F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = store(asked.join(holders, "node").select("home", "node", F.col("holder").alias("doc_id")), "wanted")
+    sides = [F.struct(F.col(c).alias("node"), F.col(f"holder_{c}").alias("doc_id")) for c in ("a", "b")]
+    wanted = store(pairs.select("home", F.explode(F.array(*sides)).alias("s")).select("home", "s.*").distinct(), "wanted")
     shape = [F.col("home").alias("to"), F.col("node").alias("of"), "text"]
     texts = passing(rows, id_filter(wanted, "doc_id")).join(wanted, "doc_id").select(*shape)
     lost = wanted.where("doc_id is null")
@@ -564,13 +578,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     # Buckets grow with the input, so that one holds about BUCKET_SIGNATURES.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4 // BUCKET_SIGNATURES)
     blocks = _blocks(_signatures(rows, frequent, buckets))
-    memberships = store(_memberships(blocks), "memberships")
+    memberships = store(_uncovered(store(_memberships(blocks), "memberships")), "uncovered")
     # One row for each set: its point, and the smallest id of a document that has it.
     nodes = members.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("holder"), F.first("n").alias("n"), F.first("point", ignorenulls=True).alias("point")
     )
     nodes = store(nodes, "nodes")
-    points, holders = nodes.select("node", "n", "point"), nodes.select("node", "holder")
+    points, holders = nodes.select("node", "n", "point", "holder"), nodes.select("node", "holder")
     shape = memberships.agg(F.count("*").alias("rows"), F.max("size").alias("largest")).first()
     homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shape["rows"] // HOME_NODES)
     cut = (shape["largest"] or 0) > LEAF  # without a block of several leaves there is no pair of leaves
@@ -580,9 +594,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         """Proposals of a round; what they link and refute is added to what is known."""
         nonlocal links, roots, refuted
         proposed = store(_propose(jobs, points, refuted, most), "proposed")
-        pairs = proposed.where("a is not null").select("home", "a", "b")
+        pairs = proposed.where("a is not null").drop("job")
         if not pairs.isEmpty():
-            verdicts = store(_verify(pairs, rows, holders), "verdicts")
+            verdicts = store(_verify(pairs, rows), "verdicts")
             fresh = verdicts.where("linked").select("a", "b")
             links = fresh if links is None else links.unionByName(fresh)
             fails = verdicts.where(~F.col("linked")).select("a", "b")
@@ -597,7 +611,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         if flagged.isEmpty():
             break
         jobs = store(_left_over(jobs, flagged, roots), "jobs")
-        most *= 64
+        most *= AGAIN
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     least = F.struct(F.col("holder").isNull().alias("none"), "holder", "node")

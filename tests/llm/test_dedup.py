@@ -96,6 +96,32 @@ def test_jaccard_join(spark, monkeypatch, leaf):
     assert plain(jaccard_join.similar_groups(docs.limit(0))) == []
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Blocks of many leaves: one component, the texts just below the threshold apart, and far fewer pairs than the group has."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(600):
+        text = list(base)
+        text[r.choice((0, 1, 58, 59))] = f"x{i}"
+        if i % 50 == 0:  # two changes in the middle: similar to no copy by itself
+            text[20], text[40] = f"y{i}", f"z{i}"
+        rows.append((i, " ".join(text)))
+    asked = []
+    real = jaccard_join.store
+
+    def seen(df, name, key=None):
+        table = real(df, name, key)
+        if name == "proposed":
+            asked.append(table.where("a is not null").count())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "store", seen)
+    assert plain(jaccard_join.similar_groups(awkward(spark, rows))) == sorted(components(rows), key=str)
+    assert sum(asked) < 20 * len(rows)
+
+
 def test_near_copies_without_id(spark):
     """Sets that only rows without an id hold are verified like any other, against rows with and without one."""
     text = [f"w{i}" for i in range(60)]
