@@ -1,12 +1,13 @@
 """Ordered rules: the first active rule by priority whose conditions all hold.
 
 Every rule needs a positive phrase, so a row can only meet rules one of whose phrases occurs in its
-description. Phrases are joined to rows by their first words: a row's words, and pairs of
-neighbouring words cut at any place, would multiply rows; instead each rule is keyed by one of its
-phrases' three-character pieces, the rarest in the rule table, and a row by the distinct pieces of
-its description that some rule has. What meets by piece is tested in full, and the least priority
-wins by a grouped minimum that combines before the shuffle. Distinct descriptions are matched, not
-rows, so a description of many rows is matched once, and the rule table may be of any size.
+description. The index over the rules is inverted: each phrase is listed under one of its
+three-character pieces, the rarest in the rule table. A fixed bitmap of those pieces (SLOTS bits)
+goes to every task, and of a description only the pieces that may be in it leave the row: most
+descriptions give none or one, however long they are. What meets by piece is tested in full, and the
+least priority wins by a grouped minimum that combines before the shuffle. Distinct descriptions are
+matched, not rows, so a description of many rows is matched once; they are known by two 64-bit
+hashes, which is all that rows and matches are joined by. The rule table may be of any size.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallybook.constants import SOURCE_RULE
 from tallybook.operators.accounts import account_problem, with_account
+from tallybook.session import store
 
 MATCH = (
     "struct<rule_id:string,priority:int,transaction_type:string,counterparty_name:string,"
@@ -23,13 +25,39 @@ MATCH = (
     "source:string,review_required:boolean,problem:string>"
 )
 KEY = ("description_normalized", "bank_key", "currency", "direction")
+SLOTS = 1 << 16
 _PIECE = 3
 
 
 def _pieces(text: Column) -> Column:
-    """Distinct three-character pieces; a shorter text is its own piece."""
+    """Three-character pieces; a shorter text is its own piece."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (_PIECE - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(_PIECE))))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(_PIECE)))
+
+
+def _slot(piece: Column) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")
+
+
+def _known_pieces(text: Column, keys: DataFrame) -> Column:
+    """Distinct pieces of a text whose bit is set in the bitmap of the rules' pieces; no piece of a rule is lost."""
+    words = [0] * (SLOTS // 64)
+    for row in keys.select(_slot(F.col("piece")).alias("slot")).distinct().collect():  # at most SLOTS numbers
+        words[row["slot"] // 64] |= 1 << row["slot"] % 64
+    bitmap = F.lit([w - (1 << 64) if w >> 63 else w for w in words])
+
+    def held(piece: Column) -> Column:
+        slot = _slot(piece)
+        return F.bit_get(F.get(bitmap, F.shiftright(slot, 6)), slot.bitwiseAND(63)) == 1
+
+    return F.array_distinct(F.filter(_pieces(text), held))
+
+
+def _hashes() -> dict[str, Column]:
+    """128 bits for what a rule looks at; nulls are told from texts."""
+    marked = [F.coalesce(F.concat(F.lit("."), F.col(c)), F.lit("")) for c in KEY]
+    joined = F.concat_ws("\x1f", *marked)
+    return {"_one": F.xxhash64(joined), "_other": F.xxhash64(F.lit("other"), joined)}
 
 
 def _holds(rule: Column) -> Column:
@@ -65,7 +93,7 @@ def rule_keys(rules: DataFrame) -> DataFrame:
         .otherwise(F.col("description_any"))
     )
     phrases = rules.select("id", F.explode(needed).alias("phrase"))
-    pieces = phrases.select("id", "phrase", F.explode(_pieces(F.col("phrase"))).alias("piece"))
+    pieces = phrases.select("id", "phrase", F.explode(F.array_distinct(_pieces(F.col("phrase")))).alias("piece"))
     shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("shared"))
     rarest = pieces.join(shared, "piece").groupBy("id", "phrase").agg(F.min(F.struct("shared", "piece")).alias("r"))
     return rarest.select("id", "r.piece").distinct()
@@ -79,14 +107,17 @@ def match_rules(transactions: DataFrame, rules: DataFrame, accounts: DataFrame)
         "id", "priority", "description_exact", "description_all", "description_any", "description_none",
         "direction", "bank_account", "currency",
     )
+    keys = store(keys, "rule_keys")
     keyed = keys.join(active.select("id", conditions.alias("conditions")), "id").select("piece", "conditions")
-    different = transactions.select(*KEY).where("description_normalized is not null").distinct()
-    met = different.withColumn("piece", F.explode(_pieces(F.col("description_normalized")))).join(keyed, "piece")
+    hashed = transactions.withColumns(_hashes())
+    different = hashed.select("_one", "_other", *KEY).where("description_normalized is not null").distinct()
+    pieces = _known_pieces(F.col("description_normalized"), keys)
+    met = different.withColumn("piece", F.explode(pieces)).join(keyed, "piece")
     first = (
         met.where(_holds(F.col("conditions")))
-        .groupBy(*KEY)
+        .groupBy("_one", "_other")
         .agg(F.min(F.struct("conditions.priority", "conditions.id")).alias("first"))
-        .select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("first.id").alias("_id"))
+        .select("_one", "_other", F.col("first.id").alias("_id"))
     )
     resolved = with_account(active, accounts)
     outcome = resolved.select(
@@ -100,5 +131,4 @@ def match_rules(transactions: DataFrame, rules: DataFrame, accounts: DataFrame)
         ).cast(MATCH).alias("rule"),
     )
     ruled = first.join(outcome, "_id").drop("_id")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
-    return transactions.join(ruled, same, "left").drop(*[f"_{c}" for c in KEY])
+    return hashed.join(ruled, ["_one", "_other"], "left").select(*transactions.columns, "rule")

@@ -55,13 +55,16 @@ def account_resolution(spark, sf_dir):
 
 
 def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes with patterns, rules and proposals; an eighth of the rows is decided already."""
-    rows = stages.transactions(spark, sf_dir)
-    known = stages.canonical(spark, sf_dir).where("row_no % 16 = 4").select("id")
-    return cascade.classify(
-        rows, derived.patterns(spark, sf_dir), config.default_rules(spark), config.default_chart(spark),
-        derived.proposals(spark, sf_dir), known,
-    )
+    """Outcomes with patterns, rules and proposals, stored once; some of the rows are decided already."""
+
+    def build() -> DataFrame:
+        known = stages.canonical(spark, sf_dir).where("row_no % 16 = 4").select("id")
+        return cascade.classify(
+            stages.transactions(spark, sf_dir), derived.patterns(spark, sf_dir), config.default_rules(spark),
+            config.default_chart(spark), derived.proposals(spark, sf_dir), known,
+        )
+
+    return stages.once(spark, sf_dir, "cascade", build)
 
 
 _CASCADE = with_blocks(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.config import defaults
+from tallybook.constants import ACCOUNT_TYPE_FOR
 from tallybook.operators import accounts as acc
 from tallybook.operators import checks, patterns, pnl, posting, reconcile, review
 from tallybook.plans import derived, report_queries, stages, views
@@ -18,6 +19,7 @@ from tallybook.plans.sql import with_blocks
 from tallybook.sources import config, reports
 
 _NAMES = {a[0]: a[1] for a in defaults.ACCOUNTS}
+_ACCOUNT_TYPES = {a[0]: a[2] for a in defaults.ACCOUNTS}
 
 
 def _first(name: str = "id") -> Column:
@@ -79,18 +81,19 @@ def orphan_classifications(spark, sf_dir):
     return review.orphan_classifications(held, stages.transactions(spark, sf_dir)).select("id")
 
 
-_PLAIN = "transaction_type IN ('revenue', 'cost_of_goods_sold', 'operating_expense')"
+# Types that may post to an account of the type that account 1000 has.
+_ON_1000 = ", ".join(f"'{kind}'" for kind, account in ACCOUNT_TYPE_FOR.items() if account == _ACCOUNT_TYPES["1000"])
 
 
 @query(
     "e_i9_decision_targets",
     with_blocks("classified") + f"""SELECT id, unnest(CASE substr(id, 1, 1) WHEN '0' THEN ['unusable_account', 'wrong_target'] WHEN '1' THEN ['unusable_account']
-      WHEN '2' THEN ['wrong_target'] ELSE [] END) AS violation FROM classified WHERE {_PLAIN}""",
+      WHEN '2' THEN CASE WHEN transaction_type IN ({_ON_1000 or "''"}) THEN [] ELSE ['wrong_target'] END ELSE [] END) AS violation FROM classified""",
 )
 def decision_targets(spark, sf_dir):
     """Stored decisions whose account is unknown, misnamed, or of a type that the decision may not use."""
     held = _planted(
-        derived.classified(spark, sf_dir).where(_PLAIN), _first(),
+        derived.classified(spark, sf_dir), _first(),
         {
             "0": {"account_number": F.lit("9999")},
             "1": {"account_name": F.lit("Misnamed")},
@@ -124,16 +127,16 @@ def history_violations(spark, sf_dir):
     return review.history_violations(history, state)
 
 
-# Every seventh classified row, as if a reviewer had corrected and then approved or rejected it.
+# Every classified row, as if a reviewer had corrected and then approved or rejected it.
 _CORRECTED = """, corrected AS (SELECT c.id, c.row_no, 2 AS version, concat('Party ', c.row_no % 4) AS party, c.account_number, c.review_status,
       concat('reviewer-', c.row_no % 9) AS reviewer, t.description_normalized, t.bank_account, t.direction, t.currency
-      FROM classified c JOIN canonical t ON t.id = c.id WHERE c.row_no % 7 = 0),
+      FROM classified c JOIN canonical t ON t.id = c.id),
     learned AS (SELECT * FROM corrected WHERE review_status = 'approved')"""
 
 
 def _corrected(spark, sf_dir) -> DataFrame:
     row_no = F.col("row_no")
-    return derived.classified(spark, sf_dir).where(row_no % 7 == 0).withColumns(
+    return derived.classified(spark, sf_dir).withColumns(
         {
             "version": F.lit(2), "source": F.lit("manual_review"),
             "counterparty_name": F.concat(F.lit("Party "), (row_no % 4).cast("string")),
