@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.chunks import byte_bpe_ids
 from tallybook.llm.common import limited, slices
+from tallybook.session import store
 
 
 def lengths(docs: DataFrame, tokenizer_path: str, group_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -103,9 +104,28 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     )
 
 
+LIMITS = [512, 1024, 2048, 4096, 8192, 32768, 131072]
+SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+
+
 def op2_token_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """All answers in one table, told apart by `measure`.
+
+    'length': every length that occurs as a context limit, with its suffix sums; 'truncated': totals
+    for the usual limits; 'quantile': lengths (in context_limit) for the usual shares.
+    """
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    return suffix_sums(histogram(lengths(docs, tokenizer_path)))
+    hist = store(histogram(lengths(docs, tokenizer_path)), "histogram")
+    sums = suffix_sums(hist)
+    parts = [
+        sums.withColumn("measure", F.lit("length")),
+        truncated_totals(hist, LIMITS).withColumnRenamed("tokens", "tokens_within").withColumn("measure", F.lit("truncated")),
+        quantiles(sums, SHARES).withColumnRenamed("n_tokens", "context_limit").withColumn("measure", F.lit("quantile")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole

@@ -1,8 +1,10 @@
 """Token ids, their files and counts, and SentencePiece, against the libraries and exact round trips."""
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -108,6 +110,10 @@ def test_token_counts(spark):
     asked = token_counts.quantiles(token_counts.suffix_sums(token_counts.histogram(hundred)), shares).where("scope = 'all'").collect()
     assert {r["share"]: r["n_tokens"] for r in asked} == dict(zip(shares, [7, 14, 28, 55, 56, 1, 100]))
     assert {(r["scope"], r["source"]) for r in sums.collect()} == {("all", None), ("source", None), ("source", "1"), ("source", "2")}
+    whole = token_counts.op2_token_counts(docs).where("scope = 'all'").collect()
+    assert {r["context_limit"]: r["truncated_tokens"] for r in whole if r["measure"] == "truncated"} == {x: sum(min(s, x) for s in sizes) for x in token_counts.LIMITS}
+    assert {r["share"]: r["context_limit"] for r in whole if r["measure"] == "quantile"} == {s: ordered[max(0, math.ceil(len(ordered) * Fraction(str(s))) - 1)] for s in token_counts.SHARES}
+    assert sum(r["documents"] for r in whole if r["measure"] == "length") == len(sizes)
     assert token_counts.op2_token_counts(docs.limit(0)).isEmpty()
 
 
