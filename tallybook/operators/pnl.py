@@ -180,6 +180,10 @@ def statements(entries: DataFrame, start: date, end: date) -> DataFrame:
     )
 
 
+def drilldown_order() -> list[Column]:
+    return [F.col(c) for c in ("month", "account_number", "transaction_date", "id")]
+
+
 def drilldown(entries: DataFrame, account_number: str | None = None, month: date | None = None) -> DataFrame:
     """Entries behind the lines, sorted by month, account, date and id.
 
@@ -190,7 +194,7 @@ def drilldown(entries: DataFrame, account_number: str | None = None, month: date
         rows = rows.where(F.col("account_number") == account_number)
     if month is not None:
         rows = rows.where(F.col("month") == F.lit(month))
-    return rows.drop("problem").orderBy("month", "account_number", "transaction_date", "id")
+    return rows.drop("problem").orderBy(*drilldown_order())
 
 
 def report_set(

@@ -16,7 +16,7 @@ from tallybook.plans import fixtures, stages, views
 from tallybook.plans.registry import query
 from tallybook.plans.sql import with_blocks
 from tallybook.session import shared_dir
-from tallybook.sources import commits, files, scan, tables
+from tallybook.sources import commits, files, paging, scan, tables
 from tallybook.streaming import landing
 
 # --- E-A: files -------------------------------------------------------------------------------
@@ -212,6 +212,20 @@ def snapshot(spark, sf_dir):
     )
 
 
+@query(
+    "e_a16_snapshot_page",
+    with_blocks("resolved") + """, placed AS (SELECT row_number() OVER (ORDER BY transaction_date NULLS LAST, coalesce(source_transaction_id, ''), id) - 1 AS position,
+        count(*) OVER () AS total, id, source_transaction_id FROM transactions)
+      SELECT position, total, id, source_transaction_id FROM placed WHERE position BETWEEN total // 2 AND total // 2 + 199""",
+)
+def snapshot_page(spark, sf_dir):
+    """The page in the middle of the snapshot, out of all rows put in order."""
+    rows = stages.transactions(spark, sf_dir).select("id", "source_transaction_id", "transaction_date")
+    ordered = paging.put_in_order(rows, tables.snapshot_order())
+    found = paging.page(ordered, ordered.total // 2, 200)
+    return found.select("position", F.lit(ordered.total).cast("long").alias("total"), "id", "source_transaction_id")
+
+
 # --- E-B: scalars -----------------------------------------------------------------------------
 
 _DUCK_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

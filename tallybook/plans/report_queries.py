@@ -12,7 +12,7 @@ from tallybook.operators import catalog, ledger, pnl, posting, reconcile, sync
 from tallybook.plans import derived, stages, views
 from tallybook.plans.registry import query
 from tallybook.plans.sql import PERIOD, with_blocks
-from tallybook.sources import config, reports
+from tallybook.sources import config, paging, reports
 
 START, END = (date.fromisoformat(d) for d in PERIOD)
 
@@ -68,6 +68,22 @@ def drilldown(spark, sf_dir):
     )
 
 
+@query(
+    "e_e7_drilldown_page",
+    with_blocks("entries") + """, placed AS (SELECT row_number() OVER (ORDER BY month, account_number, transaction_date, id) - 1 AS position,
+        count(*) OVER () AS total, * FROM entries)
+      SELECT position, month::varchar AS month, account_number, id, cast(amount AS varchar) AS source_amount
+      FROM placed WHERE position BETWEEN total * 3 // 4 AND total * 3 // 4 + 199""",
+)
+def drilldown_page(spark, sf_dir):
+    """The page three quarters down the drill-down, out of all entries put in order."""
+    rows = _entries(spark, sf_dir).where("problem is null").drop("problem")
+    ordered = paging.put_in_order(rows, pnl.drilldown_order())
+    return paging.page(ordered, ordered.total * 3 // 4, 200).select(
+        "position", F.col("month").cast("date").alias("month"), "account_number", "id", "source_amount"
+    )
+
+
 @query(
     "e_e4_e6_h7_account_lines",
     with_blocks("entries") + """SELECT month::varchar AS month, section, account_number, account_name, cast(cast(total AS decimal(28,2)) AS varchar) AS total,
