@@ -55,6 +55,49 @@ def events_of(conversations: DataFrame) -> DataFrame:
     )
 
 
+def service_log(turns: DataFrame) -> DataFrame:
+    """The log a chat service would have left of finished turns (as of `events_of`); it folds back to them.
+
+    Each text is streamed in up to three deltas. Before every third turn the message holds a draft
+    that an edit replaces; before every second answer stands another answer, with a message after
+    it, that a regeneration discards; the first piece of every fifth turn is delivered twice. Rows of
+    a turn leave in descending order of `seq`.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length("body") / 3).cast("int")
+    turns = turns.select(
+        "conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), text.alias("body"),
+        (F.col("seq") * 16).alias("base"),
+    )
+    edited = F.col("message") % 3 == 0
+    again = (F.col("role") == "assistant") & (F.col("message") % 2 == 0)
+    twice = F.col("message") % 5 == 0
+
+    def event(place: int, kind: Column | str, text: Column, where: Column, message: Column | None = None) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        made = F.struct(
+            (F.col("base") + place).alias("seq"), (F.col("message") if message is None else message).alias("message"),
+            kind.alias("kind"), F.col("role").alias("role"), text.alias("text"),
+        )
+        return F.when(where, made)
+
+    piece = [
+        F.substring("body", F.lit(1), third), F.substring("body", third + 1, third),
+        F.substring("body", third * 2 + 1, F.length("body")),
+    ]
+    draft = F.concat(F.lit("(draft) "), piece[0])
+    first = event(8, F.when(edited, F.lit("edit")).otherwise(F.lit("delta")), piece[0], F.lit(True))
+    events = F.array(
+        event(10, "delta", piece[2], piece[2] != ""), event(9, "delta", piece[1], piece[1] != ""),
+        first, F.when(twice, first),
+        event(6, "delta", draft, edited),
+        event(4, "regenerate", F.lit(""), again),
+        event(3, "delta", draft, again, F.col("message") + 1),
+        event(2, "delta", draft, again),
+    )
+    return turns.select("conv_id", F.explode(F.array_compact(events)).alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages: (conv_id, message, role, text)."""
     events = events.select(
@@ -149,7 +192,7 @@ def op5_chat_format(spark: SparkSession, conversations: DataFrame) -> DataFrame:
         [(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string"
     )
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
-    out = store(format_chats(events_of(rows)), "chats")
+    out = store(format_chats(service_log(events_of(rows))), "chats")
     line = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
     back = (
         parse(out)

@@ -101,6 +101,22 @@ def test_tied_and_repeated_turns(spark):
     assert found[2]["turns_sha256"] == hashlib.sha256(line.encode()).hexdigest()
 
 
+def test_service_log_folds_back(spark):
+    """Drafts, discarded answers and redeliveries are in the log, and none of them in what is folded."""
+    texts = ["", None, "a", "ab", "abc", "long <text> # of \\ pieces", "ä🙂" * 7, "(draft) ", "x" * 10_000]
+    rows = [(c, t, ["user", "assistant", "assistant", None][(c + t) % 4], texts[(3 * c + t) % len(texts)]) for c in range(6) for t in range(11)]
+    rows += [(None, 0, "assistant", "q"), (None, 1, "assistant", "q"), (9, 4, "assistant", "tie"), (9, 4, "assistant", "tie")]
+    turns = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    log = chat.service_log(turns)
+    events = [tuple(e) for e in log.select("conv_id", "seq", "message", "kind", "role", "text").collect()]
+    assert {e[3] for e in events} == {"delta", "edit", "regenerate"}
+    assert len(set(events)) < len(events) and events != sorted(events, key=str)
+    want = {(r["conv_id"], r["message"]): (r["role"] or "", r["text"] or "") for r in turns.collect()}
+    assert model(events) == want
+    assert {(m["conv_id"], m["message"]): (m["role"], m["text"]) for m in chat.fold(log).collect()} == want
+    assert chat.service_log(turns.limit(0)).isEmpty()
+
+
 def test_main_path_is_native():
     source = Path(chat.__file__).read_text()
     assert not any(word in source for word in ("udf", "mapIn", "applyIn", "rdd", "pandas", "pyarrow"))
