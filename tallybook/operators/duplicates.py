@@ -6,9 +6,10 @@ A(s1,f1), B(s2,f1), C(s2,f2), B duplicates A, s2 stays free and C is canonical.
 
 Set-based form: a row that comes first in both its source group and its fingerprint group is
 canonical; rows sharing either key with a new canonical are decided; repeat on the rest.
-Group minima are plain aggregates (combined before the shuffle, so a hot key costs one row per
-task), and the canonical rows come from joining the two minima on the row itself, which has no
-hot key. Rows without a source id get a source key made from their fingerprint: it ties them to
+Arrival order becomes one number a row, by one sort in ranges. Group minima are hash aggregates over
+it (combined before the shuffle, so a hot key costs one number per task), and the canonical rows come
+from joining the two minima on that number, which has no hot key. What a round leaves is a stored
+table, of which later steps read the columns they need. Rows without a source id get a source key made from their fingerprint: it ties them to
 no one else and keeps null keys out of the shuffle.
 """
 
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from tallybook.constants import DUPLICATE, ERROR, INVALID, VALID, WARNING
 from tallybook.operators.normalize import issue, issue_list
-from tallybook.session import cut_lineage
+from tallybook.session import store
 
 BY_SOURCE, BY_CONTENT, CONFLICT = "source_transaction_id", "normalized_fingerprint", "conflict"
 _NO_SOURCE = "\x00"
+_KEYS = ("id", "upload_id", "source_key", "content_key")
 
 
 def source_key() -> Column:
@@ -37,24 +39,30 @@ def _source_key() -> Column:
 
 
 def _keys(transactions: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Narrow rows for the rounds: position in order, source key, content key."""
-    position = F.struct(*[F.col(c) for c in order], F.col("id"))
-    return transactions.where(F.col("status") == VALID).select(
-        position.alias("pos"),
+    """Narrow rows for the rounds, stored: place in order as one number, keys, id and upload.
+
+    Rows are sorted in ranges of the order, so the number of a row, its range's and its place there,
+    grows with the order, and minima over it are hash aggregates. It is stored at once: another run
+    of the sort could draw other ranges.
+    """
+    rows = transactions.where(F.col("status") == VALID).select(
+        *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)],
+        "id",
+        "upload_id",
         _source_key().alias("source_key"),
         F.unhex("fingerprint").alias("content_key"),
-        "upload_id",
     )
+    by_arrival = [*[F.col(f"order_{i}") for i in range(len(order))], F.col("id")]
+    dealt = rows.repartitionByRange(*by_arrival).sortWithinPartitions(*by_arrival)
+    placed = dealt.select(F.monotonically_increasing_id().alias("pos"), *_KEYS)
+    return store(placed, "arrivals")
 
 
 def _first_of_both(rows: DataFrame) -> DataFrame:
-    """Rows that open both their groups."""
-    by_source = rows.groupBy("source_key").agg(F.min("pos").alias("pos"))
-    by_content = rows.groupBy("content_key").agg(F.min(F.struct("pos", "upload_id")).alias("m"))
-    by_content = by_content.select("content_key", "m.pos", "m.upload_id")
-    return by_source.join(by_content, "pos").select(
-        "pos", "source_key", "content_key", "upload_id"
-    )
+    """Rows that open both their groups; all three sides meet on the place in order."""
+    by_source = rows.groupBy("source_key").agg(F.min("pos").alias("pos")).select("pos")
+    by_content = rows.groupBy("content_key").agg(F.min("pos").alias("pos")).select("pos")
+    return rows.join(by_source, "pos", "left_semi").join(by_content, "pos", "left_semi")
 
 
 def _undecided(rows: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -63,32 +71,23 @@ def _undecided(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     )
 
 
-def _canonical_keys(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        F.col("pos.id").alias("canonical_id"), "pos", "source_key", "content_key", "upload_id"
-    )
-
-
-def _stored_keys(stored: DataFrame, pos_type: str) -> DataFrame:
-    """Keys of rows resolved earlier; a null position comes before every new row."""
+def _stored_keys(stored: DataFrame) -> DataFrame:
+    """Keys of rows resolved earlier; a null place comes before every new row."""
     return stored.where(is_canonical()).select(
-        F.col("id").alias("canonical_id"),
-        F.lit(None).cast(pos_type).alias("pos"),
+        F.lit(None).cast("long").alias("pos"),
+        "id",
+        "upload_id",
         _source_key().alias("source_key"),
         F.unhex("fingerprint").alias("content_key"),
-        "upload_id",
     )
 
 
 def _matched(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     """Rows with the canonical row of their source key and of their content, if any."""
     source_side = canonical.select(
-        "source_key",
-        F.struct("canonical_id", "upload_id", "content_key", "pos").alias("by_source"),
-    )
-    content_side = canonical.select(
-        "content_key", F.struct("canonical_id", "upload_id").alias("by_content")
+        "source_key", F.struct("id", "upload_id", "content_key", "pos").alias("by_source")
     )
+    content_side = canonical.select("content_key", F.struct("id", "upload_id").alias("by_content"))
     return rows.join(source_side, "source_key", "left").join(
         content_side, "content_key", "left"
     )
@@ -97,9 +96,9 @@ def _matched(rows: DataFrame, canonical: DataFrame) -> DataFrame:
 def _later_rounds(undecided: DataFrame, canonical: DataFrame) -> DataFrame:
     """Canonical rows after the first round, for chains of shared keys."""
     while not undecided.isEmpty():
-        new = cut_lineage(_first_of_both(undecided))
-        undecided = cut_lineage(_undecided(undecided, new))
-        canonical = canonical.unionByName(_canonical_keys(new))
+        new = store(_first_of_both(undecided), "round_firsts")
+        undecided = store(_undecided(undecided, new), "round_rest")
+        canonical = canonical.unionByName(new)
     return canonical
 
 
@@ -113,28 +112,23 @@ def resolve(
     `order` names the columns that give the arrival order (ids break ties). `stored` holds
     transactions resolved earlier; they come before everything new.
     """
-    rows = _keys(transactions, order)
-    fresh = rows
     canonical = None
     if stored is not None:
-        canonical = _stored_keys(stored, rows.schema["pos"].dataType.simpleString())
+        canonical = _stored_keys(stored)
         # A row never matches itself: replays of stored rows keep their state.
-        known = canonical.select("canonical_id")
-        rows = rows.join(known, F.col("pos.id") == F.col("canonical_id"), "left_anti")
-        rows = cut_lineage(rows)
-        fresh = _undecided(rows, canonical)
-    else:
-        rows = fresh = cut_lineage(rows)
-
-    first = _canonical_keys(cut_lineage(_first_of_both(fresh)))
+        transactions = transactions.join(canonical.select("id"), "id", "left_anti")
+    rows = _keys(transactions, order)
+    fresh = rows if canonical is None else _undecided(rows, canonical)
+
+    first = store(_first_of_both(fresh), "firsts")
     canonical = first if canonical is None else canonical.unionByName(first)
-    matched = cut_lineage(_matched(rows, canonical))
+    matched = store(_matched(rows, canonical), "matched")
     undecided = matched.where(F.col("by_source").isNull() & F.col("by_content").isNull())
     if not undecided.isEmpty():
         undecided = undecided.drop("by_source", "by_content")
         matched = _matched(rows, _later_rounds(undecided, canonical))
 
-    row_id, earlier = F.col("pos.id"), F.col("by_source.pos")
+    earlier = F.col("by_source.pos")
     # A later canonical row may own the source key of a row already taken by its content.
     taken = (
         F.col("by_source").isNotNull()
@@ -147,10 +141,10 @@ def resolve(
         .when(taken, F.lit(BY_SOURCE))
         .otherwise(F.lit(BY_CONTENT))
     )
-    target = F.when(taken, F.col("by_source.canonical_id")).otherwise(F.col("by_content.canonical_id"))
+    target = F.when(taken, F.col("by_source.id")).otherwise(F.col("by_content.id"))
     upload = F.when(taken, F.col("by_source.upload_id")).otherwise(F.col("by_content.upload_id"))
     resolved = matched.select(
-        row_id.alias("id"),
+        "id",
         kind.alias("match_kind"),
         target.alias("canonical_id"),
         upload.alias("canonical_upload"),

@@ -98,3 +98,31 @@ def test_hot_key(spark):
     """A third of the rows share one content, another third one bank id."""
     rows = [(f"r{i:05d}", "u", i, f"s{i}" if i % 3 else "hot", 0 if i % 3 == 1 else i + 1) for i in range(3000)]
     assert resolved(spark, rows) == scan(rows)
+
+
+def test_rounds_are_hash_aggregates(spark):
+    """Minima over the place in order combine before the shuffle, without sorting by key."""
+    rows = duplicates._keys(table(spark, [("a", "u", 1, "s1", 1), ("b", "u", 2, None, 1)]), ["seq"])
+    plan = duplicates._first_of_both(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_order_of_several_columns(spark):
+    """Nulls come first, then the columns one after the other, ids last; equal on any dealing of rows."""
+    data = [("d", "u1", 2, "x", "s1", 1), ("c", "u1", 1, "y", "s1", 1), ("b", "u1", 1, "x", "s1", 1), ("a", "u2", 1, "x", "s2", 2),
+            ("e", "u2", None, "z", "s2", 2), ("g", "u2", 3, None, None, 3), ("f", "u1", 3, None, None, 3)]
+    rows = [(i, up, seq, s, f) for i, up, seq, _, s, f in data]
+    named = spark.createDataFrame([(r[0], r[3]) for r in data], "id string, part string")
+    for partitions in (1, 7):
+        given = table(spark, rows).join(named, "id").repartition(partitions)
+        found = duplicates.resolve_duplicates(given, ["seq", "part"])
+        kept = {r["id"]: r["duplicate_of"] for r in found.select("id", "duplicate_of").collect()}
+        assert kept == {"b": None, "c": "b", "d": "b", "e": None, "a": "e", "f": None, "g": "f"}
+
+
+def test_empty_table_and_repeated_rows(spark):
+    none = table(spark, []).select("*")
+    assert duplicates.resolve_duplicates(none, ["seq"]).isEmpty()
+    row = ("a", "u", 1, "s1", 1)
+    again = duplicates.resolve_duplicates(table(spark, [row, row]), ["seq"]).select("id", "status", "duplicate_of").collect()
+    assert [tuple(r) for r in again] == [("a", "valid", None)] * 2
