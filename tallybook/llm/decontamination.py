@@ -1,21 +1,25 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 A document contains a test item when at least `threshold` of the item's distinct five-word shingles
-occur in it, wherever and however long the document is. Items are partitioned by the size of their
-shingle set (powers of two). Within a partition every item is sketched by its k smallest shingle
-hashes, k being what the partition's largest size q needs: q - ceil(threshold * q) + 1. At least one
-of so many shingles must occur in any document that contains the item, so the search over sketches
-misses nothing, and k stays a fraction of the item however long the document.
+occur in it, wherever and however long the document is; an item of fewer than five words, when its
+words occur in a row. Items are partitioned by the size of their shingle set (powers of two). Within a
+partition every item is sketched by its k smallest shingles, k being what the partition's largest size
+q needs: q - ceil(threshold * q) + 1. At least one of so many shingles must occur in any document that
+contains the item, so the search over sketches misses nothing, and k stays a fraction of the item
+however long the document. Shingles are ordered by hash, those that many items share after all others
+(by powers of two of their number), so a question's set phrase makes no document a candidate.
 
 Documents are probed whole, one pass, no shuffle: their shingle hashes are looked up in two bitmaps
-of fixed size (sketch hashes; all item shingles). A document with a sketch hit sends its shingles
-that are in the second bitmap, as text, to an equi-join with the items; exact counts of distinct
-shingles then decide. Bitmaps never lose a hit, and what they let through in vain fails the join.
-
-Defined cases: null or word-less items and documents contain nothing; items of one to four words
-have one shingle, their whole sequence, which only a document of just these words contains; rows
-that share a document id (null too) are one document, rows that share an item id one item; empty
-tables give no pairs; other columns are not read.
+of fixed size (sketch hashes; all item shingles). A document with a sketch hit leaves its shingles
+that are in the second bitmap, as text. Equi-joins find the candidates, pairs of a document and an
+item with a sketch shingle in common, and then count what candidates alone share. Bitmaps never lose a
+hit, and what they let through in vain fails the join.
+
+Defined cases: null or word-less items and documents contain nothing; items of fewer than `shortest`
+words are found in documents of just these words only (a filter of documents would otherwise drop
+all that hold a common word; `decontaminate` sets it to five, `leaks` to one); rows
+that share a document id (null too) are one document, rows that share an item id one item, which
+holds the shingles of all of them; empty tables give no pairs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +30,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import FILTER_BITS, limited, slices, texts_of, without
-from tallybook.llm.shingles import shingle_hashes, shingle_texts
+from tallybook.llm.shingles import WORDS, run_hashes, run_texts, shingle_hashes, shingle_texts
 from tallybook.session import store
 
 THRESHOLD = 0.75
 
 
 def item_shingles(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, shingle, hash, n_shingles, sketched): distinct shingles of each item, marked where in its sketch."""
+    """(item_id, shingle, hash, n_shingles, n_words, sketched): distinct shingles of each item, marked where in its sketch.
+
+    n_words is the number of words of a shingle: below five for the one of a shorter item.
+    """
 
     def cut(batches):
         for batch, texts in slices(batches):
@@ -52,13 +59,18 @@ def item_shingles(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     rows = texts_of(items, "item_id").select(F.col("doc_id").alias("item_id"), "text")
     shingles = rows.mapInArrow(cut, "item_id long, shingle binary, hash long").dropDuplicates(["item_id", "shingle"])
+    shingles = store(shingles, "item_shingle_texts")
+    sharing = shingles.groupBy("shingle").agg(F.floor(F.log2(F.count("*"))).alias("sharing"))
     by_item = Window.partitionBy("item_id")
-    sized = shingles.withColumn("n_shingles", F.count("*").over(by_item))
+    sized = shingles.join(sharing, "shingle").withColumn("n_shingles", F.count("*").over(by_item))
     # Partition p holds the sizes above 2^(p-1) up to 2^p; its largest size sets the sketch width.
     largest = F.pow(F.lit(2.0), F.ceil(F.log2("n_shingles")))
     width = largest - F.ceil(largest * threshold) + 1
-    rank = F.row_number().over(by_item.orderBy("hash", "shingle"))
-    return sized.select("item_id", "shingle", "hash", "n_shingles", (rank <= width).alias("sketched"))
+    rank = F.row_number().over(by_item.orderBy("sharing", "hash", "shingle"))
+    n_words = F.size(F.split(F.col("shingle").cast("string"), " "))
+    return sized.select(
+        "item_id", "shingle", "hash", "n_shingles", n_words.alias("n_words"), (rank <= width).alias("sketched")
+    )
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
@@ -81,25 +93,28 @@ def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles) for each document that contains an item."""
+def _probed(docs: DataFrame, known: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, shingle): of documents with a sketch hit, the shingles that may be of an item."""
     spark = limited(docs.sparkSession)
-    known = store(item_shingles(items, threshold), "item_shingles")
     sketch = spark.sparkContext.broadcast(_bitmap(known.where("sketched")))
     whole = spark.sparkContext.broadcast(_bitmap(known))
+    short = known.where(F.col("n_words").between(shortest, WORDS - 1)).select("n_words").distinct()
+    sizes = sorted(row["n_words"] for row in short.collect())  # four numbers at most
 
     def probe(batches):
         for batch, texts in slices(batches):
             raw = [t.encode() for t in texts]
-            hashes, stops = shingle_hashes(raw)
-            hit = np.flatnonzero(_has(sketch.value, hashes))
-            which = np.unique(np.searchsorted(stops, hit, "right"))
+            cuts = [(*shingle_hashes(raw), shingle_texts)]
+            cuts += [(*run_hashes(raw, n), lambda t, n=n: run_texts(t, n)) for n in sizes]
+            hits = [np.searchsorted(stops, np.flatnonzero(_has(sketch.value, hashes)), "right") for hashes, stops, _ in cuts]
             rows, found = [], []
-            for t in which.tolist():
-                begin = stops[t - 1] if t else 0
-                places = np.flatnonzero(_has(whole.value, hashes[begin : stops[t]]))
-                shingles = shingle_texts(raw[t])
-                own = list(dict.fromkeys(shingles[i] for i in places.tolist()))
+            for t in np.unique(np.concatenate(hits)).tolist():
+                own = {}
+                for hashes, stops, spelled in cuts:
+                    places = np.flatnonzero(_has(whole.value, hashes[stops[t - 1] if t else 0 : stops[t]]))
+                    if len(places):
+                        shingles = spelled(raw[t])
+                        own.update(dict.fromkeys(shingles[i] for i in places.tolist()))
                 rows += [t] * len(own)
                 found += own
             if rows:
@@ -107,21 +122,41 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_co
                     [batch.column(0).take(pa.array(rows)), pa.array(found, pa.binary())], ["doc_id", "shingle"]
                 )
 
-    probed = texts_of(docs, id_col, text_col).mapInArrow(probe, "doc_id long, shingle binary")
-    shared = probed.join(known.select("item_id", "shingle", "n_shingles", "sketched"), "shingle")
+    return docs.mapInArrow(probe, "doc_id long, shingle binary")
+
+
+def _candidates(probed: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, item_id) with a sketch shingle in common."""
+    sketches = known.where("sketched").select("shingle", "item_id")
+    return probed.join(sketches, "shingle").select("doc_id", "item_id").distinct()
+
+
+def leaks(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", shortest: int = 1
+) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles) for each document that contains an item."""
+    known = store(item_shingles(items, threshold), "item_shingles")
+    probed = store(_probed(texts_of(docs, id_col, text_col), known, shortest), "probed")
+    pair, item = _candidates(probed, known).alias("pair"), known.alias("item")
+    asked = pair.join(item, F.col("pair.item_id").eqNullSafe(F.col("item.item_id"))).select(
+        "pair.doc_id", "pair.item_id", "item.shingle", "item.n_shingles"
+    ).alias("asked")
+    held = probed.alias("held")
+    same = F.col("asked.doc_id").eqNullSafe(F.col("held.doc_id")) & (F.col("asked.shingle") == F.col("held.shingle"))
     return (
-        shared.groupBy("doc_id", "item_id", "shingle", "n_shingles", "sketched")
-        .agg(F.lit(1).alias("one"))
+        asked.join(held, same, "left_semi")
         .groupBy("doc_id", "item_id", "n_shingles")
-        .agg(F.count("*").alias("n_shared"), F.max("sketched").alias("candidate"))
-        .where(F.col("candidate") & (F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles")))
+        .agg(F.count("*").alias("n_shared"))
+        .where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles"))
         .select("doc_id", "item_id", "n_shared", "n_shingles")
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", shortest: int = WORDS
+) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    found = store(leaks(docs, items, threshold, id_col, text_col).select("doc_id").distinct(), "leaks")
+    found = store(leaks(docs, items, threshold, id_col, text_col, shortest).select("doc_id").distinct(), "leaks")
     return without(docs, found, id_col)
 
 
@@ -135,12 +170,16 @@ WITH words AS (
   SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
   UNION ALL
   SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+short AS (SELECT DISTINCT len(w) AS n FROM words WHERE kind = 1 AND len(w) BETWEEN 1 AND 4),
 shingles AS (
   SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
-  FROM words WHERE len(w) > 0),
+  FROM words WHERE len(w) > 0
+  UNION
+  SELECT kind, id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' ')))
+  FROM words JOIN short ON kind = 0 AND len(w) >= n),
 sizes AS (SELECT id, count(*) AS n_shingles FROM shingles WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n_shingles, round(count(*) / n_shingles, 6) AS containment
-FROM shingles d JOIN shingles i ON d.kind = 0 AND i.kind = 1 AND d.s = i.s JOIN sizes z ON z.id = i.id
+FROM shingles d JOIN shingles i ON d.kind = 0 AND i.kind = 1 AND d.s = i.s JOIN sizes z ON z.id IS NOT DISTINCT FROM i.id
 GROUP BY d.id, i.id, n_shingles HAVING count(*) >= 0.75 * n_shingles
 """

@@ -109,3 +109,25 @@ def shingle_texts(text: bytes) -> list[bytes]:
     if len(words) < WORDS:
         return [b" ".join(words)] if words else []
     return [b" ".join(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)]
+
+
+def run_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `size` words, fewer than WORDS, and where each text's end.
+
+    A run hashes as a text of just these words does in shingle_hashes.
+    """
+    words, ends = word_hashes(texts)
+    counts = np.diff(ends, prepend=0)
+    per_text = np.maximum(counts - size + 1, 0)
+    stops = np.cumsum(per_text)
+    place = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(ends - counts - (stops - per_text), per_text)
+    found = np.full(len(place), size, np.uint64)
+    for k in range(size):
+        found = found * np.uint64(0xC2B2AE3D27D4EB4F) + words[place + k]
+    return mix(found), stops
+
+
+def run_texts(text: bytes, size: int) -> list[bytes]:
+    """The runs themselves, in the order of run_hashes."""
+    words = text.lower().split()
+    return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]

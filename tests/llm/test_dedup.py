@@ -208,14 +208,18 @@ def test_suffix_array(symbols):
     assert suffix_array(np.array(symbols)).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:])
 
 
-def model_leaks(docs, items, threshold=0.75):
-    own, tests = {}, {}
+def model_leaks(docs, items, threshold=0.75, shortest=1):
+    own, runs, tests = {}, {}, {}
     for d, t in docs:
         own.setdefault(d, set()).update(shingles(t))
+        w = (t or "").lower().split()
+        runs.setdefault(d, set()).update(" ".join(w[i : i + n]) for n in range(shortest, 5) for i in range(len(w) - n + 1))
     for i, t in items:
         tests.setdefault(i, set()).update(shingles(t))
+    said = {d: {" ".join(x) if isinstance(x, tuple) else x for x in s} | runs[d] for d, s in own.items()}
+    asked = {i: {" ".join(x) if isinstance(x, tuple) else x for x in q} for i, q in tests.items()}
     return sorted(
-        ((d, i, len(s & q), len(q)) for d, s in own.items() for i, q in tests.items() if q and len(s & q) >= threshold * len(q)), key=str
+        ((d, i, len(s & q), len(q)) for d, s in said.items() for i, q in asked.items() if q and len(s & q) >= threshold * len(q)), key=str
     )
 
 
@@ -233,13 +237,29 @@ def test_decontamination(spark):
         text = [r.choice(words) for _ in range(r.randint(0, 200))]
         at = r.randint(0, len(text))
         docs.append((i, " ".join(text[:at] + (part if i % 2 else []) + text[at:])))
-    docs += [(900, None), (901, ""), (902, "One  TWO"), (903, "one two three"), (None, items[0][1]), (904, " ".join(r.choice(words) for _ in range(20_000)) + " " + items[3][1])]
+    docs += [(900, None), (901, ""), (902, "One  TWO"), (903, "one two three"), (905, "zero\nONE two " * 40), (906, "two one"), (None, items[0][1]), (904, " ".join(r.choice(words) for _ in range(20_000)) + " " + items[3][1])]
     table = awkward(spark, docs)
     tests = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
     want = model_leaks(docs, items)
     assert len(want) > 20 and plain(decontamination.leaks(table, tests)) == want
+    assert (902, 32, 1, 1) in want and any(i == 32 and d != 902 for d, i, _, _ in want)  # two words, alone and inside a longer text
     clean = decontamination.decontaminate(table, tests)
-    dirty = {w[0] for w in want}
+    dirty = {w[0] for w in model_leaks(docs, items, shortest=5)}
     assert clean.columns == table.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, _ in docs if d not in dirty)
     assert decontamination.leaks(table.limit(0), tests).isEmpty() and decontamination.leaks(table, tests.limit(0)).isEmpty()
     assert decontamination.decontaminate(table, tests.limit(0)).count() == len(docs)
+
+
+def test_phrase_that_all_items_share(spark):
+    """A stem of six words in every item and document makes no candidates; an item that is nothing else is found."""
+    stem = "which of the following statements is"
+    items = [(i, stem + " " + " ".join(f"a{i}x{k}" for k in range(12))) for i in range(40)]
+    docs = [(i, f"so {stem} " + " ".join(f"b{i}x{k}" for k in range(30))) for i in range(40)] + [(77, "x " + items[7][1] + " y")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    known = decontamination.item_shingles(tests)
+    probed = decontamination._probed(table, known, 1)
+    assert plain(decontamination._candidates(probed, known)) == [(77, 7)]
+    assert plain(decontamination.leaks(table, tests)) == model_leaks(docs, items)
+    alone = spark.createDataFrame([*items, (99, stem)], "item_id long, text string")
+    assert plain(decontamination.leaks(table, alone)) == model_leaks(docs, [*items, (99, stem)])
