@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from tallybook.session import shared_dir
+from tallybook.session import freed_shuffles, shared_dir
 
 RANGE, PLACE, POSITION = "order_range", "order_place", "position"
 
@@ -47,7 +47,8 @@ def put_in_order(rows: DataFrame, order: Sequence[Column], ranges: int | None =
     # The range leads the sort, so writing by range needs no sort of its own.
     placed = dealt.withColumn(RANGE, F.spark_partition_id()).sortWithinPartitions(RANGE, *order)
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed.withColumn(PLACE, within).write.partitionBy(RANGE).parquet(path)
+    with freed_shuffles(spark):
+        placed.withColumn(PLACE, within).write.partitionBy(RANGE).option("compression", "zstd").parquet(path)
     return open_ordered(rows, path)
 
 

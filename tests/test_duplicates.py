@@ -1,5 +1,8 @@
 """Duplicate resolution against a sequential scan."""
 
+import time
+from pathlib import Path
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -126,3 +129,42 @@ def test_empty_table_and_repeated_rows(spark):
     row = ("a", "u", 1, "s1", 1)
     again = duplicates.resolve_duplicates(table(spark, [row, row]), ["seq"]).select("id", "status", "duplicate_of").collect()
     assert [tuple(r) for r in again] == [("a", "valid", None)] * 2
+
+
+def test_stored_transactions_are_lean_and_whole(spark, monkeypatch):
+    """Stored transactions: rounds are removed, columns that follow from others are not stored, rows come back whole."""
+    from tallybook.plans import stages
+    from tallybook.session import shared_dir
+
+    raw = [
+        (1, i, f" S-{i % 40} ", "2026-04-0%d" % (1 + i % 3), f" PAY  {i % 30} " if i % 7 else "", "%d.00" % (i % 25), "usd", "Main")
+        for i in range(200)
+    ]
+    names = "upload_seq long, row_no long, source_id string, date_text string, description_text string, amount_text string, currency_text string, bank_text string"
+    monkeypatch.setattr(stages.views, "raw_bank", lambda *_: spark.createDataFrame(raw, names))
+    stages.forget()
+    given = stages.normalized(spark, "given")
+    stored = stages.transactions(spark, "given")
+    whole = duplicates.resolve_duplicates(given, stages.ARRIVAL)
+    assert stored.columns == whole.columns
+    assert sorted(map(str, stored.collect())) == sorted(map(str, whole.select(*stored.columns).collect()))
+    assert sorted(map(str, stages.normalized_table(spark, "given").collect())) == sorted(map(str, given.collect()))
+    folders = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    assert not any("raw_record_id" in spark.read.parquet(f).columns for f in folders)
+    scratch = Path(shared_dir(spark).removeprefix("file:")) / "scratch"
+    assert not scratch.exists() or not any(scratch.iterdir())
+    stages.forget()
+
+
+def test_store_leaves_no_shuffle_files(spark):
+    from tallybook.session import store
+
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = {p.name for p in local.rglob("shuffle_*.data")}
+    rows = spark.range(50_000).repartition(5)
+    kept = store(rows, "kept", lasting=True)
+    deadline = time.time() + 20
+    while time.time() < deadline and {p.name for p in local.rglob("shuffle_*.data")} - before:
+        time.sleep(0.2)
+    assert not {p.name for p in local.rglob("shuffle_*.data")} - before
+    assert kept.count() == 50_000
