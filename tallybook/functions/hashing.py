@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 REQUEST_PREFIX = "je-"
 
+# What JSON text escapes.
+_ESCAPED = r'["\\\x00-\x1f]'
+
 
 def lineage_id(*parts: Column) -> Column:
     """Deterministic 128-bit identity, so a rerun yields the same rows."""
@@ -33,7 +36,7 @@ def fingerprint(
         & day.isNotNull()
     )
     # Written out directly where nothing needs escaping, which is the same text.
-    special = F.concat(bank_key, description).rlike(r'["\\\x00-\x1f]')
+    special = F.concat(bank_key, description).rlike(_ESCAPED)
     direct = F.concat(
         F.lit('{"amount":"'), amount.cast("string"), F.lit('","bank_account":"'), bank_key,
         F.lit('","currency":"'), currency, F.lit('","description":"'), description,
@@ -44,8 +47,10 @@ def fingerprint(
 
 
 def _quoted(c: Column) -> Column:
+    """A text as JSON; written out directly where nothing needs escaping, which is the same text."""
     encoded = F.to_json(F.struct(c.alias("v")))
-    return F.substr(encoded, F.lit(6), F.length(encoded) - 6)
+    written = F.substr(encoded, F.lit(6), F.length(encoded) - 6)
+    return F.when(~c.rlike(_ESCAPED), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(written)
 
 
 def _json_cell(cell: Column) -> Column:
@@ -63,9 +68,9 @@ def _json_cell(cell: Column) -> Column:
 
 def raw_hash(cells: Column) -> Column:
     """sha256 over all cells as JSON with sorted keys; typed values keep their type."""
-    ordered = F.array_sort(F.map_keys(cells))
     members = F.transform(
-        ordered, lambda k: F.concat(_quoted(k), F.lit(":"), _json_cell(cells[k]))
+        F.sort_array(F.map_entries(cells)),
+        lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _json_cell(e["value"])),
     )
     return F.sha2(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")), 256)
 
