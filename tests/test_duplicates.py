@@ -156,6 +156,36 @@ def test_stored_transactions_are_lean_and_whole(spark, monkeypatch):
     stages.forget()
 
 
+def test_transactions_alone_stay_on_disk(spark, monkeypatch):
+    """Neither normalized rows nor links outlast the writing of transactions, which hold no computed digest; repeated rows too."""
+    from tallybook.plans import stages
+    from tallybook.session import shared_dir
+
+    raw = [(1 + i % 2, i // 2, f"S-{i % 40}", "2026-04-01", f"Pay {i % 30}", "%d.00" % (i % 25), "usd", "Main") for i in range(200)]
+    names = "upload_seq long, row_no long, source_id string, date_text string, description_text string, amount_text string, currency_text string, bank_text string"
+    monkeypatch.setattr(stages.views, "raw_bank", lambda *_: spark.createDataFrame(raw * 2, names))
+    stages.forget()
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "tables"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    stored = stages.transactions(spark, "alone")
+    assert [p.name.rsplit("_", 1)[0] for p in set(folder.iterdir()) - before] == ["transactions"]
+    held = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in stored.inputFiles()})
+    assert not {"raw_record_id", "upload_id", "fingerprint"} & set(held.columns)
+    given = stages.normalized(spark, "alone")
+    whole = duplicates.resolve_duplicates(given, stages.ARRIVAL)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, whole.select(*stored.columns).collect()))
+    assert sorted(map(str, stages.normalized_table(spark, "alone").collect())) == sorted(map(str, given.collect()))
+    stages.forget()
+
+
+def test_rows_that_are_placed_already(spark):
+    """A stored place in order gives what sorting by the order gives."""
+    rows = [(f"r{i:03d}", "u", (i * 37) % 101, f"s{i % 17}" if i % 4 else None, i % 23) for i in range(101)]
+    placed = table(spark, rows).withColumn("place", F.col("seq").cast("long") * 10)
+    by_place = duplicates.resolve(placed, ["seq"], place="place").collect()
+    assert sorted(map(str, by_place)) == sorted(map(str, duplicates.resolve(table(spark, rows), ["seq"]).collect())) and by_place
+
+
 def test_store_leaves_no_shuffle_files(spark):
     from tallybook.session import store
 
