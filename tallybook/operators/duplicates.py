@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallybook.constants import DUPLICATE, ERROR, INVALID, VALID, WARNING
 from tallybook.operators.normalize import issue, issue_list
-from tallybook.session import in_parts, store, store_parts
+from tallybook.session import PARTS, in_parts, store, store_parts
 
 BY_SOURCE, BY_CONTENT, CONFLICT = "source_transaction_id", "normalized_fingerprint", "conflict"
 _NO_SOURCE = "\x00"
@@ -43,17 +43,18 @@ def _content_key() -> Column:
     return F.unhex(F.right(F.col("fingerprint"), F.lit(32)))
 
 
-def _keys(transactions: DataFrame, order: Sequence[str], place: str | None = None) -> DataFrame:
+def _keys(transactions: DataFrame, order: Sequence[str], place: str | None = None, part: str | None = None) -> DataFrame:
     """Narrow rows for the rounds: place in order as one number, keys, id and upload.
 
     Rows are sorted in ranges of the order, so the number of a row, its range's and its place there,
     grows with the order, and minima over it are hash aggregates. It is stored at once: another run
-    of the sort could draw other ranges. Rows of a stored table that has this number are not sorted again.
+    of the sort could draw other ranges. Rows of a stored table that has this number are not sorted again,
+    and keep the column `part` too.
     """
     valid = transactions.where(F.col("status") == VALID)
     keys = ["id", "upload_id", _source_key().alias("source_key"), _content_key().alias("content_key")]
     if place is not None:
-        return valid.select(F.col(place).alias("pos"), *keys)
+        return valid.select(F.col(place).alias("pos"), *keys, *([] if part is None else [part]))
     rows = valid.select(*[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)], *keys)
     by_arrival = [*[F.col(f"order_{i}") for i in range(len(order))], F.col("id")]
     dealt = rows.repartitionByRange(*by_arrival).sortWithinPartitions(*by_arrival)
@@ -61,11 +62,15 @@ def _keys(transactions: DataFrame, order: Sequence[str], place: str | None = Non
     return store(placed, "arrivals")
 
 
-def _first_of_both(rows: DataFrame) -> DataFrame:
-    """Rows that open both their groups; both sides meet on the place in order and bring their key, rows the rest."""
-    by_source = rows.groupBy("source_key").agg(F.min("pos").alias("pos"))
+def _first_of_both(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Rows that open both their groups; both sides meet on the place in order and bring their key, rows the rest.
+
+    `among` holds some of the rows, all of a source key or none: only these are returned then.
+    """
+    among = rows if among is None else among
+    by_source = among.groupBy("source_key").agg(F.min("pos").alias("pos"))
     by_content = rows.groupBy("content_key").agg(F.min("pos").alias("pos"))
-    named = rows.select("pos", "id", "upload_id")
+    named = among.select("pos", "id", "upload_id")
     return by_source.join(by_content, "pos").join(named, "pos").select("pos", *_KEYS)
 
 
@@ -106,6 +111,28 @@ def _later_rounds(undecided: DataFrame, canonical: DataFrame) -> DataFrame:
     return canonical
 
 
+def _canonical_rows(fresh: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """Canonical rows among fresh rows and those known before."""
+    first = store_parts([_first_of_both(fresh, among) for among in in_parts(fresh, "source_key", 2)], "firsts")
+    canonical = first if canonical is None else canonical.unionByName(first)
+    undecided = store_parts(in_parts(_undecided(fresh, first), "id"), "undecided")
+    return _later_rounds(undecided, canonical)
+
+
+def _taken() -> Column:
+    """Whether an earlier canonical row, `by_source`, owns the source key.
+
+    A later canonical row may own the source key of a row already taken by its content.
+    """
+    earlier = F.col("by_source.pos")
+    return (earlier.isNull() | (earlier < F.col("pos"))) & ~F.col("source_key").startswith(_NO_SOURCE)
+
+
+def _source_kind() -> Column:
+    differs = F.col("by_source.content_key") != F.col("content_key")
+    return F.when(differs, F.lit(CONFLICT)).otherwise(F.lit(BY_SOURCE))
+
+
 def resolve(
     transactions: DataFrame,
     order: Sequence[str],
@@ -126,24 +153,10 @@ def resolve(
     rows = _keys(transactions, order, place)
     fresh = rows if canonical is None else _undecided(rows, canonical)
 
-    first = store(_first_of_both(fresh), "firsts")
-    canonical = first if canonical is None else canonical.unionByName(first)
-    undecided = store_parts(in_parts(_undecided(fresh, first), "id"), "undecided")
-    matched = _matched(rows, _later_rounds(undecided, canonical))
+    matched = _matched(rows, _canonical_rows(fresh, canonical))
 
-    earlier = F.col("by_source.pos")
-    # A later canonical row may own the source key of a row already taken by its content.
-    taken = (
-        F.col("by_source").isNotNull()
-        & (earlier.isNull() | (earlier < F.col("pos")))
-        & ~F.col("source_key").startswith(_NO_SOURCE)
-    )
-    differs = F.col("by_source.content_key") != F.col("content_key")
-    kind = (
-        F.when(taken & differs, F.lit(CONFLICT))
-        .when(taken, F.lit(BY_SOURCE))
-        .otherwise(F.lit(BY_CONTENT))
-    )
+    taken = F.col("by_source").isNotNull() & _taken()
+    kind = F.when(taken, _source_kind()).otherwise(F.lit(BY_CONTENT))
     target = F.when(taken, F.col("by_source.id")).otherwise(F.col("by_content.id"))
     upload = F.when(taken, F.col("by_source.upload_id")).otherwise(F.col("by_content.upload_id"))
     resolved = matched.select(
@@ -155,6 +168,30 @@ def resolve(
     return resolved.where(F.col("canonical_id") != F.col("id"))
 
 
+def resolve_in_parts(transactions: DataFrame, place: str, part: str) -> list[DataFrame]:
+    """As `resolve` for a stored table that holds each row's place, in parts to be written one after the other.
+
+    Rows and canonical rows are dealt alike, by source key and then by content, so no part draws on all
+    canonical rows; none are stored beforehand, so a key has one canonical row. The column `part` is kept.
+    """
+    rows = _keys(transactions, (), place, part)
+    canonical = _canonical_rows(rows)
+    owners = canonical.select("source_key", F.struct("id", "upload_id", "content_key", "pos").alias("by_source"))
+    sides = zip(in_parts(rows, "source_key"), in_parts(owners, "source_key"))
+    by_source = [ours.join(theirs, "source_key").where(_taken()) for ours, theirs in sides]
+    link = [F.col("by_source.id").alias("canonical_id"), F.col("by_source.upload_id").alias("canonical_upload"), part]
+    taken = store_parts([r.select("pos", "id", _source_kind().alias("match_kind"), *link) for r in by_source], "taken")
+
+    first = canonical.select("content_key", F.col("id").alias("canonical_id"), F.col("upload_id").alias("canonical_upload"))
+    sides = zip(in_parts(rows, "content_key", 2 * PARTS), in_parts(first, "content_key", 2 * PARTS))
+    by_content = [ours.join(theirs, "content_key").join(taken.select("pos"), "pos", "left_anti") for ours, theirs in sides]
+    links = [taken, *[r.withColumn("match_kind", F.lit(BY_CONTENT)) for r in by_content]]
+    return [
+        r.where(F.col("canonical_id") != F.col("id")).select("id", "match_kind", "canonical_id", "canonical_upload", part)
+        for r in links
+    ]
+
+
 def linked(transactions: DataFrame, resolution: DataFrame) -> DataFrame:
     """Transactions with what the resolution says of them, if anything."""
     return transactions.drop("duplicate_of").join(resolution, "id", "left")

@@ -11,7 +11,7 @@ from tallybook.functions.cells import Cell
 from tallybook.operators import duplicates
 from tallybook.operators.normalize import normalize_fields
 from tallybook.plans import views
-from tallybook.session import PARTS, in_parts, scratch, spread, store, store_parts
+from tallybook.session import PARTS, part_of, remove, scratch, spread, store_parts
 
 CONFIG = IngestionConfig(
     ColumnMapping(
@@ -60,15 +60,15 @@ def _place(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str]:
     return f"{spark.sparkContext.applicationId}/{name}", sf_dir
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, build, key: str | None = None) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, build, key: str | None = None, **options) -> DataFrame:
     """A stage's table, written once per session and input folder.
 
-    `build` gives the rows, or a list of their parts.
+    `build` gives the rows, or a list of their parts; further options are those of `store_parts`.
     """
     place = _place(spark, sf_dir, name)
     if place not in _stored:
         built = build()
-        _stored[place] = store_parts(built if isinstance(built, list) else [built], name, key, lasting=True)
+        _stored[place] = store_parts(built if isinstance(built, list) else [built], name, key, lasting=True, **options)
     return _stored[place]
 
 
@@ -101,22 +101,26 @@ def whole(rows: DataFrame) -> DataFrame:
     return computed.withColumn("source_id_key", text.casefold(F.col("source_transaction_id")))
 
 
-_PLACE = "place"
+_PLACE, _PART = "place", "part"
+# The last part of the transactions is shuffled while nearly all of them are written.
+_FOLDERS = 2 * PARTS
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lean normalized rows without id in arrival order, each with its place in it as a number.
 
     Raw rows are sorted in ranges, so that only they are drawn on for the ranges, and normalized
-    where they lie; neighbours are alike, which packs them well.
+    where they lie; neighbours are alike, which packs them well. `_PART`, by the id's hash, names the
+    folder a row is to lie in: a part of the rows is read without the others.
     """
     raw = views.raw_bank(spark, sf_dir)
     dealt = raw.repartitionByRange(*ARRIVAL).sortWithinPartitions(*ARRIVAL)
-    return lean(_normalize(dealt)).drop("id").withColumn(_PLACE, F.monotonically_increasing_id())
+    rows = lean(_normalize(dealt)).withColumn(_PART, part_of("id", _FOLDERS))
+    return rows.drop("id").withColumn(_PLACE, F.monotonically_increasing_id())
 
 
 def normalized_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = once(spark, sf_dir, "normalized", lambda: _placed(spark, sf_dir))
+    table = once(spark, sf_dir, "normalized", lambda: _placed(spark, sf_dir), by=_PART)
     return whole(table).select(*normalized(spark, sf_dir).columns)
 
 
@@ -126,12 +130,12 @@ def _with_links(spark: SparkSession, placed: DataFrame, folder: str) -> list[Dat
     Ids travel as bytes. What the rounds wrote is removed before rows meet their canonical row.
     """
     rows = whole(placed).withColumn("id", F.unhex("id"))
+
     with scratch(spark):
-        found = duplicates.resolve(rows, ARRIVAL, place=_PLACE)
-        resolution = store_parts(in_parts(found, "id"), "resolution", folder=folder)
+        found = duplicates.resolve_in_parts(rows, _PLACE, _PART)
+        resolution = store_parts(found, "resolution", path=f"{folder}/resolution", by=_PART)
     narrow = rows.select("id", *[c for c in placed.columns if c != _PLACE])
-    # The last of these parts is shuffled while nearly all rows lie there twice.
-    sides = zip(in_parts(narrow, "id", 2 * PARTS), in_parts(resolution, "id", 2 * PARTS))
+    sides = [[side.where(F.col(_PART) == i).drop(_PART) for side in (narrow, resolution)] for i in range(_FOLDERS)]
     parts = [duplicates.linked(*both) for both in sides]
     return [part.withColumn("id", F.lower(F.hex("id"))).sortWithinPartitions("upload_seq", "row_no") for part in parts]
 
@@ -139,8 +143,8 @@ def _with_links(spark: SparkSession, placed: DataFrame, folder: str) -> list[Dat
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored table of normalized rows with duplicates and conflicts marked.
 
-    What was stored on the way is removed, but for a table of normalized rows that others read. The
-    table holds the link; issues and status follow from it on reading.
+    What was stored on the way is removed, each part as soon as it is written, but for a table of normalized
+    rows that others read. The table holds the link; issues and status follow from it on reading.
     """
     columns = normalized(spark, sf_dir).columns
 
@@ -154,9 +158,15 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         def build() -> list[DataFrame]:
             placed = _stored.get(_place(spark, sf_dir, "normalized"))
-            return _with_links(spark, store(_placed(spark, sf_dir), "normalized") if placed is None else placed, folder)
+            if placed is None:
+                placed = store_parts([_placed(spark, sf_dir)], "normalized", path=f"{folder}/normalized", by=_PART)
+            return _with_links(spark, placed, folder)
+
+        def done(part: int) -> None:
+            for name in ("normalized", "resolution"):
+                remove(spark, f"{folder}/{name}/{_PART}={part}")
 
-        return read(once(spark, sf_dir, "transactions", build, key="id"))
+        return read(once(spark, sf_dir, "transactions", build, key="id", done=done))
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:

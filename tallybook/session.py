@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,27 +84,38 @@ def scratch(spark: SparkSession):
         yield path
     finally:
         _scratch.reset(token)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 # Spark's setting that removes a job's shuffle files at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Spark's setting that lets a task write to so many folders at once, instead of sorting rows by folder.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
-@contextmanager
 def freed_shuffles(spark: SparkSession):
     """Writes inside the block leave no shuffle files behind.
 
     What was written is read back, so nobody asks for them again; they would otherwise fill the disk
     until the driver happens to collect garbage.
     """
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    return _setting(spark, _CLEANUP, "true")
 
 
 def store(df: DataFrame, name: str, key: str | None = None, lasting: bool = False) -> DataFrame:
@@ -117,24 +128,28 @@ def store(df: DataFrame, name: str, key: str | None = None, lasting: bool = Fals
 
 
 def store_parts(
-    parts: Sequence[DataFrame], name: str, key: str | None = None, lasting: bool = False, folder: str | None = None
+    parts: Sequence[DataFrame], name: str, key: str | None = None, lasting: bool = False, path: str | None = None,
+    by: str | None = None, done: Callable[[int], None] | None = None,
 ) -> DataFrame:
     """As `store`, for a table that is written part after part, so that one part's shuffle fills the disk at a time.
 
-    `folder` names another scratch folder than that of the innermost block.
+    `path` names the folder, else one is made up. `by` names a column of few values, at most 2 * PARTS: rows of
+    each lie in a folder of their own, in the order given. `done` is told the number of a part once it is written.
     """
     spark, schema = parts[0].sparkSession, parts[0].schema
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    folder = None if lasting else folder or _scratch.get()
-    path = f"{folder or f'{shared_dir(spark)}/tables'}/{table}"
+    folder = None if lasting else _scratch.get()
+    path = path or f"{folder or f'{shared_dir(spark)}/tables'}/{table}"
     buckets = spark.conf.get(BUCKETS, None)
-    with freed_shuffles(spark):
+    with freed_shuffles(spark), _setting(spark, _WRITERS, str(2 * PARTS) if by else spark.conf.get(_WRITERS)):
         if key is not None and buckets:
             keyed = reduce(DataFrame.unionByName, parts).repartition(int(buckets), key).write.option("compression", "zstd")
             keyed.bucketBy(int(buckets), key).sortBy(key).option("path", path).saveAsTable(table)
             return spark.table(table)
-        for part in parts:
-            part.write.option("compression", "zstd").mode("append").parquet(path)
+        for number, part in enumerate(parts):
+            part.write.option("compression", "zstd").mode("append").parquet(path, partitionBy=by)
+            if done is not None:
+                done(number)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -144,8 +159,11 @@ PARTS = 4
 
 def in_parts(df: DataFrame, key: str, parts: int = PARTS) -> list[DataFrame]:
     """Rows by the hash of a key, for `store_parts`; a null key lies in a part like any other."""
-    part = F.pmod(F.xxhash64(key), F.lit(parts))
-    return [df.where(part == i) for i in range(parts)]
+    return [df.where(part_of(key, parts) == i) for i in range(parts)]
+
+
+def part_of(key: str, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts))
 
 
 # Set to a partition count where a few large files cannot be split (say one row group each):

@@ -186,6 +186,43 @@ def test_rows_that_are_placed_already(spark):
     assert sorted(map(str, by_place)) == sorted(map(str, duplicates.resolve(table(spark, rows), ["seq"]).collect())) and by_place
 
 
+def test_resolution_in_parts(spark):
+    """Parts give what the whole gives, chains and repeated rows too, and no part draws on all canonical rows."""
+    rows = [(f"r{i:03d}", "u", (i * 37) % 101, f"s{i % 17}" if i % 4 else None, i % 23) for i in range(101)]
+    placed = table(spark, [*rows, rows[7]]).withColumn("seq", F.monotonically_increasing_id())
+    placed = placed.withColumns({"place": F.col("seq") * 10, "part": F.col("seq") % 8}).localCheckpoint()
+    parts = duplicates.resolve_in_parts(placed, "place", "part")
+    found = [r for p in parts for r in p.collect()]
+    whole = duplicates.resolve(placed, ["seq"])
+    assert sorted(map(str, [r[:4] for r in found])) == sorted(str(tuple(r)) for r in whole.collect()) and found
+    kept = dict(placed.select("id", "part").collect())
+    assert all(r["part"] == kept[r["id"]] or r["id"] == rows[7][0] for r in found)
+    assert len(parts) > 4
+
+
+def test_transactions_free_what_they_have_read(spark, monkeypatch):
+    """Normalized rows and links of a part are removed once it is written, before the next part is."""
+    from tallybook.plans import stages
+
+    raw = [(1 + i % 2, i // 2, f"S-{i % 40}", "2026-04-01", f"Pay {i % 30}", "%d.00" % (i % 25), "usd", "Main") for i in range(200)]
+    names = "upload_seq long, row_no long, source_id string, date_text string, description_text string, amount_text string, currency_text string, bank_text string"
+    monkeypatch.setattr(stages.views, "raw_bank", lambda *_: spark.createDataFrame(raw, names))
+    removed = []
+
+    def held(spark, path):
+        folder = Path(path.removeprefix("file:"))
+        removed.append((folder.name, len([p for p in folder.parent.iterdir() if p.name.startswith("part=")])))
+        remove(spark, path)
+
+    remove = stages.remove
+    monkeypatch.setattr(stages, "remove", held)
+    stages.forget()
+    stages.transactions(spark, "freed")
+    stages.forget()
+    assert [name for name, _ in removed] == [f"part={i}" for i in range(8) for _ in range(2)]
+    assert [left for _, left in removed[::2]] == list(range(8, 0, -1))
+
+
 def test_store_leaves_no_shuffle_files(spark):
     from tallybook.session import store
 
