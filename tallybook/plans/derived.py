@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallybook.config import defaults
 from tallybook.operators.rules import match_rules
 from tallybook.plans import stages, views
+from tallybook.session import in_parts
 from tallybook.sources import config
 
 # A learned pattern per twentieth customer; some inactive, some naming an unknown account.
@@ -155,16 +156,18 @@ def review_status(row_no: Column) -> Column:
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored classification table: the rules' decisions, with review states spread over rows."""
 
-    def build() -> DataFrame:
+    def build() -> list[DataFrame]:
         rows = match_rules(
             stages.canonical(spark, sf_dir), config.default_rules(spark), config.default_chart(spark)
         ).where("rule is not null")
-        return rows.select(
+        decided = rows.select(
             "id", "row_no", F.lit(1).alias("version"),
             "rule.transaction_type", F.lit(None).cast("string").alias("counterparty_raw"),
             "rule.counterparty_name", "rule.account_number", "rule.account_name",
             "rule.confidence", "rule.explanation", "rule.source", "rule.review_required",
             review_status(F.col("row_no")).alias("review_status"),
         )
+        # Two parts: each matches the distinct descriptions again.
+        return in_parts(decided, "id", 2)
 
     return stages.once(spark, sf_dir, "classified", build, key="id")

@@ -223,6 +223,20 @@ def test_transactions_free_what_they_have_read(spark, monkeypatch):
     assert [left for _, left in removed[::2]] == list(range(8, 0, -1))
 
 
+def test_classifications_are_written_in_parts(spark, monkeypatch):
+    """Two parts by id hold each classification once."""
+    from tallybook.plans import derived
+
+    rows = [(f"t{i:02d}", i, ["google ads", "adp payroll x", "unknown"][i % 3], "operating checking", "USD", "outflow") for i in range(60)]
+    names = "id string, row_no long, description_normalized string, bank_key string, currency string, direction string"
+    monkeypatch.setattr(derived.stages, "canonical", lambda *_: spark.createDataFrame(rows, names))
+    monkeypatch.setattr(derived.stages, "once", lambda spark, sf_dir, name, build, key=None: build())
+    parts = derived.classified(spark, "given")
+    assert isinstance(parts, list) and len(parts) == 2
+    ids = [[r["id"] for r in part.select("id").collect()] for part in parts]
+    assert all(ids) and sorted(sum(ids, [])) == sorted(r[0] for r in rows if r[1] % 3 != 2)
+
+
 def test_store_leaves_no_shuffle_files(spark):
     from tallybook.session import store
 
