@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallybook.config.settings import ColumnMapping, IngestionConfig
 from tallybook.plans import views
+from tallybook.session import dealt
 
 # One CSV per order: three delimiters, quotes, a blank record, a short and a long record.
 # Some files repeat a header, miss a column or end after the header; some are not UTF-8.
@@ -29,7 +30,7 @@ EXPORT_CONFIG = IngestionConfig(
 
 
 def order_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = views.table(spark, sf_dir, "orders")
+    orders = dealt(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"))
     d = F.expr(_D)
     key = F.col("o_orderkey").cast("string")
     day = F.col("o_orderdate").cast("date").cast("string")
@@ -146,7 +147,7 @@ def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30")).alias("serial"),
         (F.floor(F.col("o_totalprice")) + F.lit(0.5)).alias("price"),
     )
-    return orders.mapInPandas(build, "file_name string, content binary")
+    return dealt(orders).mapInPandas(build, "file_name string, content binary")
 
 
 WORKBOOK_RECORDS_SQL = """WITH b AS (SELECT concat('book-', o_orderkey, '.xlsx') AS file_name, o_orderkey AS k, o_custkey AS c,
